@@ -11,7 +11,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAIN = {"intercept": -1.0, "days_since_last_log": 0.03, "cancel_rate": 2.0, "auto_renew_rate": -2.0}
+MAIN = {
+    "intercept": 0.4, "days_since_last_log": 0.01, "cancel_rate": 2.0, "auto_renew_rate": -2.0, "n_transactions": -0.02,
+}
 ACTIVITY = {"intercept": -2.0, "days_since_last_log": 0.05, "active_days": -0.1, "skip_rate": 1.5}
 PAYMENT = {"intercept": 1.0, "n_transactions": -0.05, "cancel_rate": 1.0, "discount_rate": 4.0}
 BLEND = {
