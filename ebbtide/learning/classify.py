@@ -1,14 +1,271 @@
-"""Churn classifiers."""
+"""Churn classifiers: linear, forest and boosted trees, tuning, stacking, selection."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import itertools
+import math
+import random
+import time
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
+from functools import reduce
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ebbtide.learning.matrix import class_weights, side_by_side
+from ebbtide.operators.metrics import classification_metrics, roc_auc
 from ebbtide.operators.ordering import hash_rank
 
+SEED = 42
+
+# The forest grid; None stands for unlimited depth.
+FOREST_GRID = {"trees": (100, 300), "depth": (5, 10, None), "min_leaf": (1, 5, 20)}
+DEEPEST = 30
+
+# Search ranges of the two boosted learners.
+BOOST_RANGES = {
+    "rounds": (200, 1000),
+    "depth": (3, 8),
+    "rate": (0.01, 0.3),
+    "row_share": (0.6, 1.0),
+    "column_share": (0.6, 1.0),
+    "min_leaf": (1, 10),
+}
+LEAFWISE_RANGES = {
+    "rounds": (200, 1000),
+    "leaves": (20, 150),
+    "rate": (0.01, 0.3),
+    "row_share": (0.5, 1.0),
+    "column_share": (0.5, 1.0),
+    "min_leaf": (10, 100),
+}
+
+
+@dataclass(frozen=True)
+class Spec:
+    """What to fit: ``kind`` is linear, forest or boosted."""
+
+    name: str
+    kind: str
+    params: Mapping = field(default_factory=dict)
+    balanced: bool = True
+
+
+def _estimators(spec: Spec, rows: int, features: str) -> list:
+    p = dict(spec.params)
+    common = {"labelCol": "is_churn", "predictionCol": "predicted"}
+    if spec.balanced:
+        common["weightCol"] = "_weight"
+    if spec.kind == "linear":
+        # inverse penalty C on the sum of losses is 1 / (C n) on their mean
+        penalty = 1.0 / (p.get("c", 1.0) * rows)
+        learner = LogisticRegression(
+            featuresCol="scaled", regParam=penalty, standardization=False, maxIter=p.get("max_iter", 1000), **common
+        )
+        return [StandardScaler(inputCol=features, outputCol="scaled", withMean=True, withStd=True), learner]
+    if spec.kind == "forest":
+        return [
+            RandomForestClassifier(
+                featuresCol=features,
+                numTrees=p["trees"],
+                maxDepth=DEEPEST if p["depth"] is None else p["depth"],
+                minInstancesPerNode=p["min_leaf"],
+                seed=SEED,
+                **common,
+            )
+        ]
+    depth = p["depth"] if "depth" in p else max(2, round(math.log2(p["leaves"])))
+    extra = {"validationIndicatorCol": p["stop_on"]} if "stop_on" in p else {}
+    return [
+        GBTClassifier(
+            featuresCol=features,
+            maxIter=p["rounds"],
+            maxDepth=depth,
+            stepSize=p["rate"],
+            subsamplingRate=p.get("row_share", 1.0),
+            featureSubsetStrategy=str(p.get("column_share", 1.0)) if p.get("column_share", 1.0) < 1 else "all",
+            minInstancesPerNode=p.get("min_leaf", 1),
+            seed=SEED,
+            **extra,
+            **common,
+        )
+    ]
+
+
+def fit_classifier(train: DataFrame, spec: Spec, features: str = "features") -> PipelineModel:
+    """Fit on the given rows; balanced weights are worked out on the same rows."""
+    weighted = train.withColumn("_weight", class_weights(train)) if spec.balanced else train
+    rows = train.count() if spec.kind == "linear" else 0
+    return Pipeline(stages=_estimators(spec, rows, features)).fit(weighted)
+
+
+def fit_with_early_stop(train: DataFrame, val: DataFrame, spec: Spec) -> PipelineModel:
+    """Boosting that stops once the validation rows no longer improve."""
+    both = train.withColumn("_held_out", F.lit(False)).unionByName(val.withColumn("_held_out", F.lit(True)))
+    weighted = both.withColumn("_weight", class_weights(train))
+    stopped = Spec(spec.name, spec.kind, {**spec.params, "stop_on": "_held_out"}, spec.balanced)
+    return Pipeline(stages=_estimators(stopped, 0, "features")).fit(weighted)
+
+
+def churn_scores(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
+    """(msno, is_churn, split, model, churn_prob)."""
+    scored = model.transform(df)
+    return scored.select(
+        "msno",
+        F.col("is_churn").cast("int").alias("is_churn"),
+        "split",
+        F.lit(name).alias("model"),
+        vector_to_array("probability")[1].alias("churn_prob"),
+    )
+
+
+def evaluate(scored: DataFrame, by: Sequence[str] = ("model",), threshold: float = 0.5) -> DataFrame:
+    auc = roc_auc(scored, "is_churn", "churn_prob", by)
+    return auc.join(classification_metrics(scored, "is_churn", "churn_prob", threshold, by), list(by))
+
+
+def _auc_of(scored: DataFrame) -> float:
+    value = roc_auc(scored, "is_churn", "churn_prob").first()["auc"]
+    return float("nan") if value is None else value
+
+
+def coefficient_table(spark: SparkSession, model: PipelineModel, names: Sequence[str]) -> DataFrame:
+    weights = model.stages[-1].coefficients.toArray()
+    return spark.createDataFrame([(n, float(w)) for n, w in zip(names, weights)], "feature string, coefficient double")
+
+
+def top_coefficients(coefficients: DataFrame, k: int = 10) -> DataFrame:
+    """The ``k`` largest and ``k`` smallest coefficients, a feature listed once."""
+    high = coefficients.orderBy(F.col("coefficient").desc(), "feature").limit(k)
+    low = coefficients.orderBy("coefficient", "feature").limit(k)
+    return high.unionByName(low).dropDuplicates(["feature"])
+
+
+def largest_coefficients(coefficients: DataFrame, k: int = 10) -> DataFrame:
+    return coefficients.orderBy(F.abs("coefficient").desc(), "feature").limit(k)
+
+
+def importance_table(spark: SparkSession, model: PipelineModel, names: Sequence[str], k: int = 15) -> DataFrame:
+    weights = model.stages[-1].featureImportances.toArray()
+    table = spark.createDataFrame([(n, float(w)) for n, w in zip(names, weights)], "feature string, importance double")
+    return table.orderBy(F.col("importance").desc(), "feature").limit(k)
+
 
-def assign_folds(df: DataFrame, folds: int = 5, seed: int = 42, label: str = "is_churn", key: str = "msno") -> DataFrame:
+def forest_grid(train: DataFrame, val: DataFrame, grid: Mapping[str, Sequence] = FOREST_GRID) -> tuple[DataFrame, Spec]:
+    """AUC on the fixed validation split for every grid point, and the best point."""
+    points = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
+
+    def run(point: dict) -> float:
+        return _auc_of(churn_scores(fit_classifier(train, Spec("forest", "forest", point)), val, "forest"))
+
+    aucs = side_by_side([lambda p=p: run(p) for p in points])
+    rows = [(i, p["trees"], p["depth"] or DEEPEST, p["min_leaf"], a) for i, (p, a) in enumerate(zip(points, aucs))]
+    table = train.sparkSession.createDataFrame(rows, "point int, trees int, depth int, min_leaf int, auc double")
+    best = max(range(len(points)), key=lambda i: (aucs[i], -i))
+    return table, Spec("Random Forest", "forest", points[best])
+
+
+def draw(ranges: Mapping[str, Sequence], rng: random.Random) -> dict:
+    """One random point: whole numbers evenly, shares evenly, the learning rate on a log scale."""
+    point = {}
+    for name, (low, high) in ranges.items():
+        if name == "rate":
+            point[name] = math.exp(rng.uniform(math.log(low), math.log(high)))
+        elif isinstance(low, int):
+            point[name] = rng.randint(low, high)
+        else:
+            point[name] = rng.uniform(low, high)
+    return point
+
+
+def tune(
+    train: DataFrame, val: DataFrame, ranges: Mapping[str, Sequence], trials: int = 50, seed: int = SEED, name: str = "boosted"
+) -> tuple[DataFrame, Spec]:
+    """Seeded random search scored by AUC on the fixed validation split.
+
+    Returns the trials with the best AUC so far, and the best point.
+    """
+    rng = random.Random(seed)
+    points = [draw(ranges, rng) for _ in range(trials)]
+
+    def run(point: dict) -> float:
+        return _auc_of(churn_scores(fit_with_early_stop(train, val, Spec(name, "boosted", point)), val, name))
+
+    aucs = side_by_side([lambda p=p: run(p) for p in points])
+    rows = [(i, name, str(sorted(p.items())), a) for i, (p, a) in enumerate(zip(points, aucs))]
+    table = train.sparkSession.createDataFrame(rows, "trial int, model string, params string, auc double")
+    so_far = W.partitionBy("model").orderBy("trial").rowsBetween(W.unboundedPreceding, 0)
+    best = max(range(trials), key=lambda i: (aucs[i], -i))
+    return table.withColumn("best_so_far", F.max("auc").over(so_far)), Spec(name, "boosted", points[best])
+
+
+def two_step(train: DataFrame, val: DataFrame, test: DataFrame, spec: Spec) -> tuple[DataFrame, PipelineModel, PipelineModel, float]:
+    """Fit on train to judge on val, then on train and val together to judge on test.
+
+    Returns the scores of both steps, both models and the seconds of the first fit.
+    """
+    start = time.monotonic()
+    first = fit_classifier(train, spec)
+    seconds = time.monotonic() - start
+    final = fit_classifier(train.unionByName(val), spec)
+    scores = churn_scores(first, val, spec.name).unionByName(churn_scores(final, test, spec.name))
+    return scores, first, final, seconds
+
+
+def assign_folds(df: DataFrame, folds: int = 5, seed: int = SEED, label: str = "is_churn", key: str = "msno") -> DataFrame:
     """Add ``fold`` 0..folds-1: each class is dealt out evenly in seeded random order."""
     ranked = hash_rank(df, key, seed, [label])
     return ranked.withColumn("fold", ((F.col("hash_rank") - 1) % folds).cast("int")).drop("hash_rank")
+
+
+def out_of_fold(folded: DataFrame, specs: Sequence[Spec], folds: int = 5) -> DataFrame:
+    """Scores of every train row from models that never saw its fold; weights are set per fold."""
+
+    def run(fold: int, spec: Spec) -> DataFrame:
+        model = fit_classifier(folded.filter(F.col("fold") != fold), spec)
+        held = folded.filter(F.col("fold") == fold)
+        return churn_scores(model, held, spec.name).withColumn("fold", F.lit(fold))
+
+    parts = side_by_side([lambda f=f, s=s: run(f, s) for f in range(folds) for s in specs])
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def meta_features(scores: DataFrame, specs: Sequence[Spec]) -> DataFrame:
+    """One row per subscriber with one score column per base model."""
+    columns = [f"p{i}" for i in range(len(specs))]
+    wide = scores.groupBy("msno", "is_churn", "split").agg(
+        *[F.max(F.when(F.col("model") == s.name, F.col("churn_prob"))).alias(c) for s, c in zip(specs, columns)]
+    )
+    typed = wide.withColumn("is_churn", F.col("is_churn").cast("double"))
+    return VectorAssembler(inputCols=columns, outputCol="features").transform(typed)
+
+
+def fit_meta(oof_meta: DataFrame, val_meta: DataFrame, boosted_rounds: int = 100) -> tuple[str, PipelineModel, DataFrame]:
+    """Linear and boosted meta learners on out-of-fold scores; the better AUC on val is kept."""
+    linear = LogisticRegression(
+        featuresCol="features", labelCol="is_churn", regParam=1.0 / oof_meta.count(), standardization=False, maxIter=500
+    )
+    boosted = Spec("boosted", "boosted", {"rounds": boosted_rounds, "depth": 3, "rate": 0.05}, balanced=False)
+    models = side_by_side(
+        [lambda: Pipeline(stages=[linear]).fit(oof_meta), lambda: fit_classifier(oof_meta, boosted)]
+    )
+    aucs = [_auc_of(churn_scores(m, val_meta, "meta")) for m in models]
+    table = oof_meta.sparkSession.createDataFrame(
+        [("linear", aucs[0]), ("boosted", aucs[1])], "meta_learner string, auc double"
+    )
+    pick = 1 if aucs[1] > aucs[0] else 0
+    return ("linear", "boosted")[pick], models[pick], table
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from ebbtide.config import STAR_SCHEMA as C
 from ebbtide.functions.columns import normalise_names, right_closed_bin
+from ebbtide.learning import classify
+from ebbtide.learning import segments as kmeans
 from ebbtide.operators import (
     attribution,
     audit,
@@ -30,6 +32,7 @@ from ebbtide.operators import (
     value,
 )
 from ebbtide.plans import rules
+from ebbtide.plans.modelling import BOOSTED, LEAFWISE, QUICK, Modelling
 from ebbtide.plans.study import Study, star_schema_study
 from ebbtide.sources import star_schema
 from ebbtide.sources.files import as_key_values, merge_report, union_drops
@@ -589,6 +592,147 @@ def explanation_cases(s):
 
 @query
 def oof_fold_assignment(s):
-    from ebbtide.learning.classify import assign_folds
+    return classify.assign_folds(s.master().filter(F.col("split") == "train").select("msno", "is_churn"), 5, SEED)
 
-    return assign_folds(s.master().filter(F.col("split") == "train").select("msno", "is_churn"), 5, SEED)
+
+# ---- fitted models (checked by properties in tests, since SQL cannot fit them) -------------------
+
+
+def model_query(fn: Callable[[Modelling], DataFrame]) -> Callable[[Modelling], DataFrame]:
+    """Register a query over models fitted on all rows of the study."""
+    QUERIES[fn.__name__] = lambda spark, sf_dir: rounded(fn(Modelling(star_schema_study(spark, sf_dir), QUICK)))
+    return fn
+
+
+def _steps(name: str, result) -> DataFrame:
+    """Metrics of a two-step fit: val from the train-only model, test from the refit."""
+    return classify.evaluate(result[0], ["model", "split"])
+
+
+@model_query
+def kmeans_k_sweep(m):
+    return m.k_sweep()
+
+
+@model_query
+def kmeans_segments(m):
+    return m.kmeans_segments().select("msno", "cluster", "segment_label")
+
+
+@model_query
+def kmeans_segment_profiles(m):
+    return segments.segment_profiles(m.kmeans_segments())
+
+
+@model_query
+def pca_projection(m):
+    return kmeans.variance_columns(*kmeans.pca_projection(m.cluster_matrix()))
+
+
+@model_query
+def lr_metrics(m):
+    return _steps("linear", m.linear())
+
+
+@model_query
+def top_coefficients(m):
+    table = classify.coefficient_table(m.study.labels.sparkSession, m.linear()[1], m.names)
+    return classify.top_coefficients(table, 10)
+
+
+@model_query
+def rf_grid(m):
+    return m.forest_grid()[0]
+
+
+@model_query
+def rf_metrics(m):
+    return _steps("forest", m.forest())
+
+
+@model_query
+def rf_importances(m):
+    return classify.importance_table(m.study.labels.sparkSession, m.forest()[1], m.names)
+
+
+@model_query
+def tuning_history(m):
+    return m.tuned(BOOSTED)[0].unionByName(m.tuned(LEAFWISE)[0])
+
+
+@model_query
+def gbt_metrics(m):
+    return _steps(BOOSTED, m.boosted(BOOSTED))
+
+
+@model_query
+def gbt2_metrics(m):
+    return _steps(LEAFWISE, m.boosted(LEAFWISE))
+
+
+@model_query
+def oof_scores(m):
+    return m.out_of_fold()
+
+
+@model_query
+def meta_learners(m):
+    return m.stacking()["table"]
+
+
+@model_query
+def stacking_metrics(m):
+    return classify.evaluate(m.stacking()["scores"], ["model", "split"])
+
+
+@model_query
+def churn_scores(m):
+    return m.decided_scores()
+
+
+@model_query
+def final_model(m):
+    return metrics.select_final_model(m.comparison(), "Stacking Ensemble").withColumn(
+        "decision_threshold", F.lit(m.threshold())
+    )
+
+
+@model_query
+def ridge_alpha_sweep(m):
+    return m.ridge()[0]
+
+
+@model_query
+def ridge_coefficients(m):
+    table = classify.coefficient_table(m.study.labels.sparkSession, m.ridge()[2], m.names)
+    return classify.largest_coefficients(table, 10)
+
+
+@model_query
+def clv_model_comparison(m):
+    return m.value_comparison()
+
+
+@model_query
+def clv_predictions(m):
+    return m.clv_predictions()
+
+
+@model_query
+def tree_attributions(m):
+    return m.sampled_attributions()
+
+
+@model_query
+def top_risk_attributions(m):
+    return m.top_risk_attributions()
+
+
+@model_query
+def clv_attributions(m):
+    return m.value_attributions()
+
+
+@model_query
+def model_campaign(m):
+    return campaign.campaign_roi(m.campaign("all"), C.retention_rate, C.offer_cost)
