@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbtide.operators.audit import segment_onehot
@@ -41,5 +41,6 @@ def side_by_side(jobs: Sequence[Callable[[], object]], workers: int = PARALLEL_F
     """Run independent fits from a few driver threads; results keep the order of ``jobs``."""
     if len(jobs) == 1:
         return [jobs[0]()]
+    in_session = inheritable_thread_target(SparkSession.active())
     with ThreadPoolExecutor(max_workers=workers) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(j)) for j in jobs]]
+        return [f.result() for f in [pool.submit(in_session(j)) for j in jobs]]

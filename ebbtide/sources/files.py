@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,9 +32,15 @@ def union_drops(drops: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
+def _folder(location: str) -> str:
+    """Path part of a file or folder address, with one slash at its end."""
+    return "/" + urlparse(location).path.strip("/") + "/"
+
+
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Write parquet to a path the plan does not read from."""
-    if any(f.rstrip("/").split(":", 1)[-1].startswith(path.rstrip("/").split(":", 1)[-1] + "/") for f in df.inputFiles()):
+    target = _folder(path)
+    if any(_folder(f).startswith(target) for f in df.inputFiles()):
         raise ValueError(f"{path} is an input of this table; write a new version instead")
     writer = df.write.mode("overwrite")
     if partition_by:
