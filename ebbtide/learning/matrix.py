@@ -23,7 +23,10 @@ def model_matrix(segmented: DataFrame) -> tuple[DataFrame, list[str]]:
     encoded = segment_onehot(segmented)
     names = feature_columns(encoded.columns)
     plain = encoded.select(
-        "msno", "split", F.col("is_churn").cast("double").alias("is_churn"), *[F.col(c).cast("double").alias(c) for c in names]
+        "msno",
+        "split",
+        F.col("is_churn").cast("double").alias("is_churn"),
+        *[F.col(c).cast("double").alias(c) for c in names],
     )
     assembled = VectorAssembler(inputCols=names, outputCol="features").transform(plain)
     return stage(assembled, "matrix"), names

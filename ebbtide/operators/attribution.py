@@ -57,7 +57,7 @@ def explanation_cases(scored: DataFrame, threshold: float) -> DataFrame:
     predicted = F.col("churn_prob") >= threshold
     missed = (F.col("is_churn") == 1) & ~predicted
     alarm = (F.col("is_churn") == 0) & predicted
-    picked = scored.agg(
+    picked = scored.filter(F.col("churn_prob").isNotNull()).agg(
         F.min_by(row, falling).alias("a"),
         F.min_by(row, rising).alias("b"),
         F.min_by(row, F.when(missed, falling)).alias("fn"),

@@ -69,11 +69,13 @@ def impute(master: DataFrame, max_log_days: int, fit_on: Column | None = None) -
 
     No logs: zeros, and the longest silence for days_since_last_log. Age and
     tenure: median over the joined rows (or over ``fit_on`` rows). No member
-    record: most common city rank, unknown gender, no channel, date 0.
+    record: most common city rank, unknown gender, no channel, date 0. No
+    transactions at all: payment features 0, while the payment dates stay NULL
+    (``missing_feature_flags`` counts these subscribers).
     """
     medians = whole_number_medians(master, ("age", "membership_tenure"), fit_on)
-    fills: dict[str, Column] = {c: F.lit(0) for c in LOG_FEATURES}
-    fills |= {c: F.lit(0) for c in ("last_log_date", "first_log_date", "registration_init_time", "discount_rate")}
+    fills: dict[str, Column] = {c: F.lit(0) for c in (*TRANSACTION_FEATURES, *LOG_FEATURES)}
+    fills |= {c: F.lit(0) for c in ("last_log_date", "first_log_date", "registration_init_time")}
     fills |= {c: F.lit(0) for c in ("gender_male", "gender_female", *via_feature_names(master.columns))}
     fills |= {"days_since_last_log": F.lit(max_log_days), "gender_unknown": F.lit(1), "city_freq_rank": F.lit(1)}
     fills |= {c: medians.select(c).scalar() for c in ("age", "membership_tenure")}

@@ -1,7 +1,7 @@
 """Registered queries: each takes (spark, sf_dir) and returns a DataFrame.
 
-Doubles are rounded to six digits in the result only, since the order of
-floating-point addition differs between engines.
+Doubles are rounded in the result only, to six digits or as DIGITS says, since
+the order of floating-point addition differs between engines.
 """
 
 from __future__ import annotations
@@ -46,9 +46,18 @@ AUTO_RENEW_LABELS = ("Low (0-0.25)", "Mid (0.25-0.75)", "High (0.75-1.0)")
 SEED = 42
 
 
+# Aggregates of large amounts carry fewer exact digits.
+DIGITS = {
+    "net_roi": 2, "campaign_cost": 2, "mean_clv": 2, "median_clv": 2, "roi_pct": 2, "rmse": 2, "mae": 2,
+    "priority_score": 2, "mean": 4, "std": 4,
+}
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     kinds = dict(df.dtypes)
-    return df.select(*[F.round(c, digits).alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns])
+    return df.select(
+        *[F.round(c, min(digits, DIGITS.get(c, 6))).alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns]
+    )
 
 
 def query(fn: Callable[[Study], DataFrame]) -> Callable[[Study], DataFrame]:

@@ -7,6 +7,7 @@ from ebbtide.operators.audit import AUDITED, SEGMENTS
 from ebbtide.operators.master import LOG_FEATURES, MEMBER_FEATURES, TRANSACTION_FEATURES
 from ebbtide.operators.segments import CLUSTER_FEATURES
 from ebbtide.plans import rules
+from ebbtide.plans.catalog import DIGITS
 
 _YMD = "CAST(strftime({0}, '%Y%m%d') AS INTEGER)"
 _DAY = "CAST(strptime(CAST({0} AS VARCHAR), '%Y%m%d') AS DATE)"
@@ -35,7 +36,7 @@ def div(a: str, b: str) -> str:
 
 
 def r(expr: str, name: str) -> str:
-    return f"round({expr}, 6) AS {name}"
+    return f"round({expr}, {DIGITS.get(name, 6)}) AS {name}"
 
 
 def binned(value: str, edges, labels) -> str:
@@ -194,7 +195,7 @@ FROM labels_v2 LEFT JOIN tx USING (msno) LEFT JOIN logs USING (msno) LEFT JOIN m
 def _filled(c: str) -> str:
     if c == "days_since_last_log":
         return f"coalesce({c}, {C.max_log_days}) AS {c}"
-    if c in _LOGS or c == "discount_rate" or c in _VIA or c in ("gender_male", "gender_female", "registration_init_time"):
+    if c in _LOGS or c in TRANSACTION_FEATURES or c in _VIA or c in ("gender_male", "gender_female", "registration_init_time"):
         return f"coalesce({c}, 0) AS {c}"
     if c in ("gender_unknown", "city_freq_rank"):
         return f"coalesce({c}, 1) AS {c}"
@@ -572,8 +573,8 @@ oracle("clv_training_set", ["master", "clv"], f"""
 SELECT msno, master.split, {_rounded(_FEATS, ('age', 'membership_tenure'))}, round(clv, 6) AS clv
 FROM master JOIN (SELECT msno, clv FROM clv) USING (msno)""")
 oracle("regression_metrics", ["vals"], """
-SELECT split, count(*) AS n, round(sqrt(avg(power(actual_clv - predicted_clv, 2))), 6) AS rmse,
-       round(avg(abs(actual_clv - predicted_clv)), 6) AS mae,
+SELECT split, count(*) AS n, round(sqrt(avg(power(actual_clv - predicted_clv, 2))), 2) AS rmse,
+       round(avg(abs(actual_clv - predicted_clv)), 2) AS mae,
        round(1 - sum(power(actual_clv - predicted_clv, 2)) / (var_pop(actual_clv) * count(*)), 6) AS r2
 FROM vals GROUP BY split""")
 oracle("residuals", ["vals"], """
@@ -584,10 +585,10 @@ SELECT coalesce(segment_label, 'Unknown') AS segment_label, avg(predicted_clv) A
        quantile_cont(predicted_clv, 0.5) AS median_clv
 FROM vals LEFT JOIN (SELECT msno, segment_label FROM segmented) USING (msno) GROUP BY 1""")
 oracle("segment_clv", ["seg_clv"], """
-SELECT segment_label, round(mean_clv, 6) AS mean_clv, n_customers, round(median_clv, 6) AS median_clv FROM seg_clv""")
+SELECT segment_label, round(mean_clv, 2) AS mean_clv, n_customers, round(median_clv, 2) AS median_clv FROM seg_clv""")
 oracle("segment_priority", ["seg_clv", "segmented"], """
-SELECT segment_label, round(mean_clv, 6) AS mean_clv, round(churn_rate, 6) AS churn_rate,
-       round(mean_clv * churn_rate, 6) AS priority_score
+SELECT segment_label, round(mean_clv, 2) AS mean_clv, round(churn_rate, 6) AS churn_rate,
+       round(mean_clv * churn_rate, 2) AS priority_score
 FROM seg_clv JOIN (SELECT segment_label, avg(is_churn) AS churn_rate FROM segmented GROUP BY 1) USING (segment_label)""")
 oracle("campaign_scoring", ["campaign"], """
 SELECT msno, is_churn, churn_prob, predicted_churn, round(predicted_clv, 6) AS predicted_clv FROM campaign""")
@@ -596,7 +597,7 @@ SELECT msno, is_churn, churn_prob, predicted_churn, round(predicted_clv, 6) AS p
 _roicols = ", ".join(["n_predicted_churners"] + [r(c, c) for c in ("mean_clv", "mean_churn_prob", "net_roi", "campaign_cost", "roi_pct")])
 oracle("campaign_roi", ["roi"], f"SELECT {_roicols} FROM roi")
 oracle("roi_sensitivity", ["target"], """
-SELECT retention_rate, offer_cost, round(net, 6) AS net_roi, abs(net) < 10000 AS near_breakeven
+SELECT retention_rate, offer_cost, round(net, 2) AS net_roi, abs(net) < 10000 AS near_breakeven
 FROM (SELECT k / CAST(20 AS DOUBLE) AS retention_rate, CAST(c AS DOUBLE) AS offer_cost,
              sum(CASE WHEN is_target = 1 THEN churn_prob * predicted_clv * (k / CAST(20 AS DOUBLE)) - c ELSE 0 END) AS net
       FROM target, range(2, 9) a(k), range(4, 21, 2) b(c) GROUP BY k, c)""")
