@@ -33,6 +33,7 @@ class StudyConfig:
     # None uses every transaction; a yyyymmdd date keeps only earlier ones, so
     # that no feature overlaps the window the label is defined on.
     feature_cutoff: int | None = None
+    log_cutoff: int | None = None
     # 'all' fits medians and ranks on every row, 'train' only on the train split.
     fit_on: str = "all"
 

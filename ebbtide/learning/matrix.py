@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +16,8 @@ from ebbtide.session import stage
 
 # Fits that run side by side on one cluster; each is itself a distributed job.
 PARALLEL_FITS = 4
+# Rows per written file of the matrix, so that every pass of a fit can use the whole cluster.
+ROWS_PER_FILE = 50_000
 
 
 def model_matrix(segmented: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -29,7 +31,15 @@ def model_matrix(segmented: DataFrame) -> tuple[DataFrame, list[str]]:
         *[F.col(c).cast("double").alias(c) for c in names],
     )
     assembled = VectorAssembler(inputCols=names, outputCol="features").transform(plain)
-    return stage(assembled, "matrix"), names
+    files = max(1, -(-segmented.count() // ROWS_PER_FILE))
+    return stage(assembled.repartition(files, "msno"), "matrix"), names
+
+
+def without(df: DataFrame, names: Sequence[str], excluded: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """The matrix with some features left out of the vector."""
+    kept = [n for n in names if n not in set(excluded)]
+    slicer = VectorSlicer(inputCol="_all", outputCol="features", indices=[list(names).index(n) for n in kept])
+    return slicer.transform(df.withColumnRenamed("features", "_all")).drop("_all"), kept
 
 
 def class_weights(df: DataFrame, label: str = "is_churn") -> Column:

@@ -21,18 +21,18 @@ FOREST = {"trees": 300, "depth": 10, "min_leaf": 5}
 
 
 def fit_ridge(train: DataFrame, alpha: float) -> PipelineModel:
-    """Penalty ``alpha`` on the sum of squares.
+    """Penalty ``alpha`` on the sum of squares, solved from one pass of cross products.
 
-    Spark averages the loss and scales the label by its sample deviation, so
-    the same optimum needs alpha · deviation / n.
+    Spark averages the loss and this solver scales the label by its population
+    deviation, so the same optimum needs alpha · deviation / n.
     """
-    n, deviation = train.agg(F.count(F.lit(1)), F.stddev_samp("clv")).first()
+    n, deviation = train.agg(F.count(F.lit(1)), F.stddev_pop("clv")).first()
     return Pipeline(
         stages=[
             StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True),
             LinearRegression(
                 featuresCol="scaled", labelCol="clv", predictionCol="predicted_clv", elasticNetParam=0.0,
-                regParam=alpha * (deviation or 1.0) / n, standardization=False, solver="l-bfgs", maxIter=500, tol=1e-9,
+                regParam=alpha * (deviation or 1.0) / n, standardization=False, solver="normal",
             ),
         ]
     ).fit(train)

@@ -88,3 +88,10 @@ def explain_cases(cases: DataFrame, attributions: DataFrame, n_features: int = 1
 
 def total_contribution(attributions: DataFrame, keys: Sequence[str] = ("msno",)) -> DataFrame:
     return attributions.groupBy(*keys).agg(F.sum("contribution").alias("total_contribution"))
+
+
+def feature_place(importance: DataFrame, feature: str, within: int = 10) -> DataFrame:
+    """Rank of one feature in an importance table and whether it is among the first ``within``."""
+    return importance.filter(F.col("feature") == feature).select(
+        "feature", "importance_rank", (F.col("importance_rank") <= within).alias("is_top")
+    )

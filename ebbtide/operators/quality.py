@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.functions.columns import percent
 from ebbtide.operators.master import null_counts
+from ebbtide.operators.ordering import sample_n
 
 # Ages outside (0, 120] are flagged.
 AGE_ABOVE, AGE_UP_TO = 0, 120
@@ -81,3 +82,13 @@ def table_profile(df: DataFrame) -> DataFrame:
         "nulls",
         "null_pct",
     )
+
+
+def preview(df: DataFrame, n: int = 3) -> DataFrame:
+    """A few rows to look at; which ones is not defined."""
+    return df.limit(n)
+
+
+def sampled_null_profile(df: DataFrame, key: str, n: int = 100_000, seed: int = 42) -> DataFrame:
+    """Null counts on a sample of exactly ``n`` rows (all rows where there are fewer)."""
+    return null_counts(sample_n(df, n, seed, key))

@@ -47,3 +47,33 @@ def report_roi(by_segment: DataFrame) -> DataFrame:
         _text("$%.0f", F.col("net_roi"), 0).alias("net_roi"),
         _text("%.0f%%", F.col("roi_pct"), 0).alias("roi_pct"),
     )
+
+
+def report_threshold(optimal: DataFrame) -> DataFrame:
+    """(position, kpi, value) tiles of the chosen threshold."""
+    tiles = [
+        ("Optimal Threshold", _text("%.2f", F.col("optimal_threshold"), 2)),
+        ("F1 @ Optimal", _text("%.4f", F.col("f1"), 4)),
+        ("Precision", _text("%.4f", F.col("precision"), 4)),
+        ("Recall (Sensitivity)", _text("%.4f", F.col("recall"), 4)),
+    ]
+    return _tiles(optimal, tiles)
+
+
+def report_campaign(roi: DataFrame) -> DataFrame:
+    """(position, kpi, value) tiles of the whole campaign."""
+    tiles = [
+        ("Target Segment Size", F.format_number("n_predicted_churners", 0)),
+        ("Mean CLV (Target)", _text("$%.0f", F.col("mean_clv"), 0)),
+        ("Campaign Cost", _text("$%.0f", F.col("campaign_cost"), 0)),
+        ("Net ROI", _text("$%.0fk", F.col("net_roi") / 1000, 0)),
+    ]
+    return _tiles(roi, tiles)
+
+
+def _tiles(one_row: DataFrame, tiles: list) -> DataFrame:
+    cells = [
+        F.struct(F.lit(i).alias("position"), F.lit(kpi).alias("kpi"), text.alias("value"))
+        for i, (kpi, text) in enumerate(tiles, start=1)
+    ]
+    return one_row.select(F.inline(F.array(*cells)))

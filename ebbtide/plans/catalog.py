@@ -571,6 +571,16 @@ def report_roi(s):
     return reports.report_roi(segment_roi(s))
 
 
+@query
+def report_threshold(s):
+    return reports.report_threshold(optimal_threshold(s))
+
+
+@query
+def report_campaign(s):
+    return reports.report_campaign(campaign_roi(s))
+
+
 # ---- attribution ----------------------------------------------------------------------------------
 
 
@@ -588,6 +598,11 @@ def attribution_importance(s):
     return attribution.attribution_importance(_linear(s))
 
 
+@query
+def feature_place(s):
+    return attribution.feature_place(attribution.attribution_importance(_linear(s)), "n_transactions")
+
+
 @query
 def top_risk_customers(s):
     return attribution.top_risk(s.rule_scores(), 100)
@@ -596,7 +611,9 @@ def top_risk_customers(s):
 @query
 def explanation_cases(s):
     cases = attribution.explanation_cases(s.rule_scores(), C.default_threshold)
-    return attribution.explain_cases(cases, _linear(s))
+    explained = s.master().join(cases.select("msno"), "msno", "left_semi")
+    parts = attribution.linear_attributions(explained, rules.weights(rules.MAIN), background=s.master())
+    return attribution.explain_cases(cases, parts)
 
 
 @query
@@ -732,6 +749,16 @@ def tree_attributions(m):
     return m.sampled_attributions()
 
 
+@model_query
+def tree_attribution_importance(m):
+    return attribution.attribution_importance(m.sampled_attributions()).filter(F.col("importance_rank") <= 20)
+
+
+@model_query
+def model_explanation_cases(m):
+    return m.case_attributions()
+
+
 @model_query
 def top_risk_attributions(m):
     return m.top_risk_attributions()
@@ -742,6 +769,16 @@ def clv_attributions(m):
     return m.value_attributions()
 
 
+@model_query
+def clv_attribution_importance(m):
+    return attribution.attribution_importance(m.value_attributions()).filter(F.col("importance_rank") <= 10)
+
+
+@model_query
+def clv_predictions_everyone(m):
+    return m.clv_predictions("all")
+
+
 @model_query
 def model_campaign(m):
     return campaign.campaign_roi(m.campaign("all"), C.retention_rate, C.offer_cost)

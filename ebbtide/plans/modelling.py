@@ -35,6 +35,9 @@ class Effort:
     meta_rounds: int = 100
     starts: int = 10
     value_forest: dict = field(default_factory=lambda: dict(value.FOREST))
+    # The value target is computed from total_paid and days_as_member; naming
+    # them here fits value models that cannot just read it off.
+    value_excluded: tuple = ()
     ks: tuple = tuple(range(2, 9))
 
 
@@ -180,11 +183,19 @@ class Modelling:
 
     # values
 
+    def _value_table(self, df: DataFrame) -> DataFrame:
+        return matrix.without(df, self.names, self.effort.value_excluded)[0] if self.effort.value_excluded else df
+
+    @property
+    def value_names(self) -> list[str]:
+        return [n for n in self.names if n not in self.effort.value_excluded]
+
     def value_rows(self, *splits: str) -> DataFrame:
-        valued = self._once(
-            "value-rows", lambda: stage(self.matrix()[0].join(self.study.clv().select("msno", "clv"), "msno"), "value-matrix")
-        )
-        return valued.filter(F.col("split").isin(*splits))
+        def build() -> DataFrame:
+            valued = self.matrix()[0].join(self.study.clv().select("msno", "clv"), "msno")
+            return stage(self._value_table(valued), "value-matrix")
+
+        return self._once("value-rows", build).filter(F.col("split").isin(*splits))
 
     def ridge(self):
         return self._once("ridge", lambda: value.ridge_alpha_sweep(self.value_rows("train"), self.value_rows("val")))
@@ -232,7 +243,7 @@ class Modelling:
         if scope == "labelled_retained":
             kept = self.value_predictions().filter((F.col("model") == name) & (F.col("split") == split))
             return kept.select("msno", "actual_clv", "predicted_clv")
-        everyone = value.predictions(self.value_models()[name], self.split(split), name)
+        everyone = value.predictions(self.value_models()[name], self._value_table(self.split(split)), name)
         return everyone.select("msno", "actual_clv", "predicted_clv")
 
     # attributions
@@ -248,13 +259,19 @@ class Modelling:
         rows = ordering.sample_n(self.value_rows("test").select("msno"), n, 42, "msno")
         features = self.value_rows("test").join(rows, "msno", "left_semi")
         return explain.attributions(
-            features, self.value_models()[self.best_value_name()], self.names, self.value_rows("train")
+            features, self.value_models()[self.best_value_name()], self.value_names, self.value_rows("train")
         )
 
     def top_risk_attributions(self, n: int = 100) -> DataFrame:
         top = stage(attribution.top_risk(self.final_scores().filter(F.col("split") == "test"), n), "top-risk")
         return self.churn_attributions(top).join(top.select("msno", "churn_prob"), "msno")
 
+    def case_attributions(self) -> DataFrame:
+        """Strongest contributions for the highest and lowest risk and the most confident mistake."""
+        test = self.final_scores().filter(F.col("split") == "test")
+        cases = stage(attribution.explanation_cases(test, self.threshold()), "cases")
+        return attribution.explain_cases(cases, self.churn_attributions(cases))
+
     # campaign
 
     def campaign(self, scope: str = "all") -> DataFrame:

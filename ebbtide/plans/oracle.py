@@ -642,3 +642,17 @@ SELECT case_id, case_type, msno, churn_prob, is_churn, feature, round(contributi
 FROM (SELECT *, CAST(row_number() OVER (PARTITION BY case_id ORDER BY abs(contribution) DESC, feature) AS INTEGER) AS place
       FROM (SELECT * FROM case_a UNION ALL SELECT * FROM case_b UNION ALL SELECT * FROM case_c) JOIN attributions USING (msno))
 WHERE place <= 15""")
+oracle("feature_place", ["importance"], """
+SELECT feature, importance_rank, importance_rank <= 10 AS is_top
+FROM (SELECT feature, CAST(row_number() OVER (ORDER BY m DESC, feature) AS INTEGER) AS importance_rank FROM importance)
+WHERE feature = 'n_transactions'""")
+oracle("report_threshold", ["sweep"], """
+SELECT position, kpi, value FROM (SELECT * FROM sweep ORDER BY business_cost, threshold LIMIT 1) s,
+LATERAL (VALUES (1, 'Optimal Threshold', printf('%.2f', round(threshold, 2))), (2, 'F1 @ Optimal', printf('%.4f', round(s.f1, 4))),
+                (3, 'Precision', printf('%.4f', round(s.precision, 4))),
+                (4, 'Recall (Sensitivity)', printf('%.4f', round(s.recall, 4)))) t(position, kpi, value)""")
+oracle("report_campaign", ["roi"], """
+SELECT position, kpi, value FROM roi,
+LATERAL (VALUES (1, 'Target Segment Size', format('{:,}', n_predicted_churners)), (2, 'Mean CLV (Target)', printf('$%.0f', round(mean_clv))),
+                (3, 'Campaign Cost', printf('$%.0f', round(campaign_cost))),
+                (4, 'Net ROI', printf('$%.0fk', round(net_roi / 1000)))) t(position, kpi, value)""")

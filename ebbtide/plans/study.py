@@ -72,7 +72,10 @@ class Study:
 
     def log_features(self) -> DataFrame:
         c = self.config
-        return logs.log_features_twopass(self.log_drops.values(), self.labels, c.log_snapshot, c.secs_above, c.secs_up_to)
+        drops = self.log_drops.values()
+        if c.log_cutoff is not None:
+            drops = [d.filter(F.col("date") < c.log_cutoff) for d in drops]
+        return logs.log_features_twopass(drops, self.labels, c.log_snapshot, c.secs_above, c.secs_up_to)
 
     def member_features(self) -> DataFrame:
         return members.member_features(

@@ -17,7 +17,9 @@ def build_session(app: str = "ebbtide", master: str | None = None, shuffle_parti
         .config("spark.sql.session.timeZone", "UTC")
     )
     if master:
-        builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.driver.memory", "12g")
+        builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config(
+            "spark.driver.memory", "12g"
+        )
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()

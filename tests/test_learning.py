@@ -57,7 +57,7 @@ def test_ridge_is_at_the_penalised_optimum(table):
     x = np.array([r[0] for r in model.stages[0].transform(table).select(vector_to_array("scaled")).collect()])
     y = np.array([r["clv"] for r in table.select("clv").collect()])
     want = np.linalg.solve(x.T @ x + 10.0 * np.eye(4), x.T @ (y - y.mean()))
-    assert model.stages[-1].coefficients.toArray() == pytest.approx(want, rel=1e-4)
+    assert model.stages[-1].coefficients.toArray() == pytest.approx(want, rel=1e-9)
 
 
 def conditional(leaves, x, present):
