@@ -74,11 +74,12 @@ def impute(master: DataFrame, max_log_days: int, fit_on: Column | None = None) -
     (``missing_feature_flags`` counts these subscribers).
     """
     medians = whole_number_medians(master, ("age", "membership_tenure"), fit_on)
+    median = medians.select(F.struct("age", "membership_tenure").alias("m")).scalar()
     fills: dict[str, Column] = {c: F.lit(0) for c in (*TRANSACTION_FEATURES, *LOG_FEATURES)}
     fills |= {c: F.lit(0) for c in ("last_log_date", "first_log_date", "registration_init_time")}
     fills |= {c: F.lit(0) for c in ("gender_male", "gender_female", *via_feature_names(master.columns))}
     fills |= {"days_since_last_log": F.lit(max_log_days), "gender_unknown": F.lit(1), "city_freq_rank": F.lit(1)}
-    fills |= {c: medians.select(c).scalar() for c in ("age", "membership_tenure")}
+    fills |= {c: median.getField(c) for c in ("age", "membership_tenure")}
     types = dict(master.dtypes)
 
     def filled(name: str) -> Column:
