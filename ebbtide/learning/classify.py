@@ -210,10 +210,12 @@ def two_step(train: DataFrame, val: DataFrame, test: DataFrame, spec: Spec) -> t
 
     Returns the scores of both steps, both models and the seconds of the first fit.
     """
-    start = time.monotonic()
-    first = fit_classifier(train, spec)
-    seconds = time.monotonic() - start
-    final = fit_classifier(train.unionByName(val), spec)
+
+    def timed(rows: DataFrame) -> tuple[PipelineModel, float]:
+        start = time.monotonic()
+        return fit_classifier(rows, spec), time.monotonic() - start
+
+    (first, seconds), (final, _) = side_by_side([lambda: timed(train), lambda: timed(train.unionByName(val))])
     scores = churn_scores(first, val, spec.name).unionByName(churn_scores(final, test, spec.name))
     return scores, first, final, seconds
 
