@@ -14,12 +14,14 @@ Leaves are few and fixed by the model; rows are worked on in Arrow batches.
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,9 @@ from pyspark.sql import types as T
 from ebbtide.operators.attribution import linear_attributions
 from ebbtide.session import staging_dir
 
+# The batch function travels with its task, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 @dataclass(frozen=True)
 class Leaf:
