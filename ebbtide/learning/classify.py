@@ -130,9 +130,11 @@ def evaluate(scored: DataFrame, by: Sequence[str] = ("model",), threshold: float
     return auc.join(classification_metrics(scored, "is_churn", "churn_prob", threshold, by), list(by))
 
 
-def _auc_of(scored: DataFrame) -> float:
-    value = roc_auc(scored, "is_churn", "churn_prob").first()["auc"]
-    return float("nan") if value is None else value
+def _aucs(models: Sequence[PipelineModel], df: DataFrame) -> list[float]:
+    """AUC of each model on the same rows, in one job over all their scores."""
+    scored = reduce(lambda a, b: a.unionByName(b), [churn_scores(m, df, str(i)) for i, m in enumerate(models)])
+    found = {r["model"]: r["auc"] for r in roc_auc(scored, "is_churn", "churn_prob", ["model"]).collect()}
+    return [float("nan") if found.get(str(i)) is None else found[str(i)] for i in range(len(models))]
 
 
 def coefficient_table(spark: SparkSession, model: PipelineModel, names: Sequence[str]) -> DataFrame:
@@ -161,10 +163,7 @@ def forest_grid(train: DataFrame, val: DataFrame, grid: Mapping[str, Sequence] =
     """AUC on the fixed validation split for every grid point, and the best point."""
     points = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
 
-    def run(point: dict) -> float:
-        return _auc_of(churn_scores(fit_classifier(train, Spec("forest", "forest", point)), val, "forest"))
-
-    aucs = side_by_side([lambda p=p: run(p) for p in points])
+    aucs = _aucs(side_by_side([lambda p=p: fit_classifier(train, Spec("forest", "forest", p)) for p in points]), val)
     rows = [(i, p["trees"], p["depth"] or DEEPEST, p["min_leaf"], a) for i, (p, a) in enumerate(zip(points, aucs))]
     table = train.sparkSession.createDataFrame(rows, "point int, trees int, depth int, min_leaf int, auc double")
     best = max(range(len(points)), key=lambda i: (aucs[i], -i))
@@ -194,10 +193,7 @@ def tune(
     rng = random.Random(seed)
     points = [draw(ranges, rng) for _ in range(trials)]
 
-    def run(point: dict) -> float:
-        return _auc_of(churn_scores(fit_with_early_stop(train, val, Spec(name, "boosted", point)), val, name))
-
-    aucs = side_by_side([lambda p=p: run(p) for p in points])
+    aucs = _aucs(side_by_side([lambda p=p: fit_with_early_stop(train, val, Spec(name, "boosted", p)) for p in points]), val)
     rows = [(i, name, str(sorted(p.items())), a) for i, (p, a) in enumerate(zip(points, aucs))]
     table = train.sparkSession.createDataFrame(rows, "trial int, model string, params string, auc double")
     so_far = W.partitionBy("model").orderBy("trial").rowsBetween(W.unboundedPreceding, 0)
@@ -257,7 +253,7 @@ def fit_meta(oof_meta: DataFrame, val_meta: DataFrame, boosted_rounds: int = 100
     models = side_by_side(
         [lambda: Pipeline(stages=[linear]).fit(oof_meta), lambda: fit_classifier(oof_meta, boosted)]
     )
-    aucs = [_auc_of(churn_scores(m, val_meta, "meta")) for m in models]
+    aucs = _aucs(models, val_meta)
     table = oof_meta.sparkSession.createDataFrame(
         [("linear", aucs[0]), ("boosted", aucs[1])], "meta_learner string, auc double"
     )

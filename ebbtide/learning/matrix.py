@@ -15,7 +15,7 @@ from ebbtide.operators.master import feature_columns
 from ebbtide.session import stage
 
 # Fits that run side by side on one cluster; each is itself a distributed job.
-PARALLEL_FITS = 4
+PARALLEL_FITS = 8
 # Rows per written file of the matrix, so that every pass of a fit can use the whole cluster.
 ROWS_PER_FILE = 50_000
 

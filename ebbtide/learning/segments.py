@@ -26,15 +26,20 @@ def cluster_matrix(master: DataFrame, columns: Sequence[str] = CLUSTER_FEATURES,
     return stage(VectorAssembler(inputCols=z, outputCol="scaled").transform(scaled).drop(*z), "cluster-matrix")
 
 
-def fit_kmeans(matrix: DataFrame, k: int, starts: int = STARTS, seed: int = SEED) -> KMeansModel:
-    """Best of several seeded starts by within-cluster cost."""
+def fit_starts(matrix: DataFrame, ks: Sequence[int], starts: int = STARTS, seed: int = SEED) -> dict[int, KMeansModel]:
+    """For each k the best of several seeded starts by within-cluster cost."""
+    jobs = [(k, seed + i) for k in ks for i in range(starts)]
     fits = side_by_side(
         [
-            lambda i=i: KMeans(k=k, seed=seed + i, featuresCol="scaled", predictionCol="cluster", maxIter=100).fit(matrix)
-            for i in range(starts)
+            lambda k=k, s=s: KMeans(k=k, seed=s, featuresCol="scaled", predictionCol="cluster", maxIter=100).fit(matrix)
+            for k, s in jobs
         ]
     )
-    return min(fits, key=lambda m: m.summary.trainingCost)
+    best: dict[int, KMeansModel] = {}
+    for (k, _), model in zip(jobs, fits):
+        if k not in best or model.summary.trainingCost < best[k].summary.trainingCost:
+            best[k] = model
+    return best
 
 
 def k_sweep(matrix: DataFrame, ks: Sequence[int] = tuple(range(2, 9)), starts: int = STARTS, seed: int = SEED) -> DataFrame:
@@ -44,19 +49,16 @@ def k_sweep(matrix: DataFrame, ks: Sequence[int] = tuple(range(2, 9)), starts: i
     over all rows.
     """
     judge = ClusteringEvaluator(featuresCol="scaled", predictionCol="cluster", distanceMeasure="squaredEuclidean")
-    rows = []
-    for k in ks:
-        model = fit_kmeans(matrix, k, starts, seed)
-        rows.append((k, float(model.summary.trainingCost), float(judge.evaluate(model.transform(matrix)))))
-    best = max(rows, key=lambda r: r[2])[0]
-    return matrix.sparkSession.createDataFrame(
-        [(*r, r[0] == best) for r in rows], "k int, inertia double, silhouette double, recommended boolean"
-    )
+    models = fit_starts(matrix, ks, starts, seed)
+    silhouettes = side_by_side([lambda m=m: float(judge.evaluate(m.transform(matrix))) for m in models.values()])
+    best = max(zip(silhouettes, models), key=lambda x: x[0])[1]
+    rows = [(k, float(m.summary.trainingCost), s, k == best) for (k, m), s in zip(models.items(), silhouettes)]
+    return matrix.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double, recommended boolean")
 
 
 def kmeans_segments(matrix: DataFrame, k: int = 4, starts: int = STARTS, seed: int = SEED) -> DataFrame:
     """Matrix rows with ``cluster`` and a ``segment_label`` derived from each cluster's profile."""
-    clustered = fit_kmeans(matrix, k, starts, seed).transform(matrix)
+    clustered = fit_starts(matrix, [k], starts, seed)[k].transform(matrix)
     named = name_segments(cluster_profile(clustered)).collect()  # k rows
     return apply_names(clustered, {r["cluster"]: r["segment_label"] for r in named})
 
