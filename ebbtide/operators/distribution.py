@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,17 +29,29 @@ def quantiles(
     """Exact linearly interpolated quantiles as (by..., feature, share, quantile).
 
     Values are counted, ranked across tasks, and only the two order statistics
-    next to each quantile are kept.
+    next to each quantile are kept; value ranges that hold none are skipped.
     """
     keys = [*by, "feature"]
     counted = long_form(df, columns, by).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
-    ranked = running_totals(counted, "value", ["n"], keys, rows_per_range=rows_per_range)
+
+    def ranks(total: Column, share: Column) -> tuple[Column, Column]:
+        position = (total - 1) * share
+        return F.floor(position) + 1, F.ceil(position) + 1
+
+    def within(rank: Column, before: Column, size: Column) -> Column:
+        return (rank > before) & (rank <= before + size)
+
+    def needed(before: Column, size: Column, total: Column) -> Column:
+        hits = [within(rank, before, size) for s in shares for rank in ranks(total, F.lit(float(s)))]
+        return reduce(lambda a, b: a | b, hits)
+
+    ranked = running_totals(counted, "value", ["n"], keys, rows_per_range=rows_per_range, needed=needed)
     wanted = ranked.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
     position = (F.col("all_n") - 1) * F.col("share")
-    low, high = F.floor(position) + 1, F.ceil(position) + 1
+    low, high = ranks(F.col("all_n"), F.col("share"))
 
     def holds(rank: Column) -> Column:
-        return (rank > F.col("cum_n") - F.col("n")) & (rank <= F.col("cum_n"))
+        return within(rank, F.col("cum_n") - F.col("n"), F.col("n"))
 
     ends = (
         wanted.filter(holds(low) | holds(high))

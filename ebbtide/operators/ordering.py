@@ -9,7 +9,7 @@ of the rows is therefore spread over many tasks.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
@@ -44,10 +44,14 @@ def running_totals(
     by: Sequence[str] = (),
     descending: bool = False,
     rows_per_range: int = ROWS_PER_RANGE,
+    needed: Callable[[Column, Column, Column], Column] | None = None,
 ) -> DataFrame:
     """Add ``cum_<s>`` (inclusive) and ``all_<s>`` (group total) for each column in ``sums``.
 
     ``combined`` holds one row per (by, order) and no NULL in ``order``.
+    ``needed(before, inside, total)`` may tell from the first sum which value
+    ranges the caller has a use for; rows of other ranges may then be left out
+    before the shuffle.
     """
     by = list(by)
     base = stage(combined, "ordered")
@@ -78,14 +82,17 @@ def running_totals(
         per_range.select(
             *by,
             "_range",
+            F.col(sums[0]).alias("_inside"),
             *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_off_{s}") for s in sums],
             *[F.sum(s).over(group).alias(f"all_{s}") for s in sums],
         ),
         "offsets",
     )
+    if needed is not None:
+        offsets = offsets.filter(needed(F.col(f"_off_{sums[0]}"), F.col("_inside"), F.col(f"all_{sums[0]}")))
     keys = [*by, "_range"]
-    joined = numbered.join(offsets, null_safe_on(numbered, offsets, keys), "left").select(
-        numbered["*"], *[offsets[c] for c in offsets.columns if c not in keys]
+    joined = numbered.join(offsets, null_safe_on(numbered, offsets, keys)).select(
+        numbered["*"], *[offsets[c] for c in offsets.columns if c not in (*keys, "_inside")]
     )
     inside = W.partitionBy(*keys).orderBy(direction).rowsBetween(W.unboundedPreceding, 0)
     return joined.select(

@@ -341,6 +341,19 @@ def kv_artifact(s):
     )
 
 
+@query
+def kv_threshold(s):
+    best = optimal_threshold(s).select(
+        F.round("optimal_threshold", 2).alias("optimal_threshold"),
+        "business_cost",
+        F.lit(C.fn_cost).alias("fn_cost_per_unit"),
+        F.lit(C.fp_cost).alias("fp_cost_per_unit"),
+        *[F.round(c, 4).alias(c) for c in ("f1", "precision", "recall")],
+    )
+    formats = {"optimal_threshold": "%.2f", "business_cost": "%d", "fn_cost_per_unit": "%d", "fp_cost_per_unit": "%d"}
+    return as_key_values(best, {**formats, "f1": "%.4f", "precision": "%.4f", "recall": "%.4f"})
+
+
 @query
 def leakage_cutoff_contrast(s):
     return audit.cutoff_contrast(s.master(), "last_expire_date", C.label_cutoff)
@@ -514,7 +527,7 @@ def segment_priority(s):
 
 
 def _campaign(s: Study) -> DataFrame:
-    """Reference scope: only retained subscribers with a value count as valuable."""
+    """Scope labelled_retained: only subscribers known to have stayed have a value."""
     return campaign.campaign_scoring(s.rule_scores(), s.rule_values(), C.default_threshold)
 
 
@@ -716,6 +729,11 @@ def churn_scores(m):
     return m.decided_scores()
 
 
+@model_query
+def model_comparison(m):
+    return m.comparison()
+
+
 @model_query
 def final_model(m):
     return metrics.select_final_model(m.comparison(), "Stacking Ensemble").withColumn(

@@ -656,3 +656,8 @@ SELECT position, kpi, value FROM roi,
 LATERAL (VALUES (1, 'Target Segment Size', format('{:,}', n_predicted_churners)), (2, 'Mean CLV (Target)', printf('$%.0f', round(mean_clv))),
                 (3, 'Campaign Cost', printf('$%.0f', round(campaign_cost))),
                 (4, 'Net ROI', printf('$%.0fk', round(net_roi / 1000)))) t(position, kpi, value)""")
+oracle("kv_threshold", ["sweep"], f"""
+SELECT key, value FROM (SELECT * FROM sweep ORDER BY business_cost, threshold LIMIT 1) s,
+LATERAL (VALUES ('optimal_threshold', printf('%.2f', round(threshold, 2))), ('business_cost', CAST(business_cost AS VARCHAR)),
+                ('fn_cost_per_unit', '{C.fn_cost}'), ('fp_cost_per_unit', '{C.fp_cost}'), ('f1', printf('%.4f', round(s.f1, 4))),
+                ('precision', printf('%.4f', round(s.precision, 4))), ('recall', printf('%.4f', round(s.recall, 4)))) t(key, value)""")
