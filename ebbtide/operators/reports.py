@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def _text(pattern: str, value: Column, digits: int) -> Column:
-    """Rounded half up first, so the text never depends on a formatter's tie rule."""
-    return F.format_string(pattern, F.round(value, digits))
+    """Rounded half up first, so the text never depends on a formatter's tie rule; NULL stays NULL."""
+    return F.when(value.isNotNull(), F.format_string(pattern, F.round(value, digits)))
 
 
 def kpi_overview(balance: DataFrame, test_balance: DataFrame, comparison: DataFrame, roi: DataFrame) -> DataFrame:
