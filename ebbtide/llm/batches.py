@@ -88,7 +88,8 @@ class Words:
     """
 
     def __init__(self, column: pa.Array):
-        self.data, byte_offsets = utf8(pc.utf8_lower(column))
+        self.data, self.byte_offsets = utf8(pc.utf8_lower(column))
+        byte_offsets = self.byte_offsets
         is_word = WORD_BYTE[self.data]
         edge = np.ones(len(self.data) + 1, bool)
         edge[1:-1] = False

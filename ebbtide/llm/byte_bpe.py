@@ -126,41 +126,42 @@ class Encoder(dict):
 _encoders: dict = {}
 
 
-def encoder_of(shared, pattern: str) -> Encoder:
-    """One encoder in each worker; ``shared`` is the broadcast vocabulary."""
-    key = (shared.id if hasattr(shared, "id") else id(shared), pattern)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(shared.value, pattern)
-    return _encoders[key]
+def _setup(docs: DataFrame, path: str, pattern: str):
+    """A function that gives a worker its encoder, built once for each vocabulary and pattern."""
+    ranks = read_ranks(path)
+    name = hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)  # a vocabulary file has a fixed size (about 50,000 tokens)
 
+    def encoder() -> Encoder:
+        if name not in _encoders:
+            _encoders.clear()
+            _encoders[name] = Encoder(shared.value, pattern)
+        return _encoders[name]
 
-def _shared(docs: DataFrame, path: str):
-    # a vocabulary file has a fixed size (about 50,000 tokens)
-    return docs.sparkSession.sparkContext.broadcast(read_ranks(path))
+    return encoder
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (default: all) with the token ids of each text as ``tokens``, array<int>."""
     keep = [c for c in (docs.columns if keep is None else keep) if c != "tokens"]
-    shared = _shared(docs, path)
+    encoder_of = _setup(docs, path, pattern)
 
     def work(piece, encoder):
         packed = [encoder.encode(t or "") for t in piece.column("text").to_pylist()]
         offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in packed])]).astype(np.int32)
         return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))]
 
-    return map_text(docs, keep, text, [T.StructField("tokens", T.ArrayType(T.IntegerType()))], work, lambda: encoder_of(shared, pattern))
+    return map_text(docs, keep, text, [T.StructField("tokens", T.ArrayType(T.IntegerType()))], work, encoder_of)
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, column: str = "tokens", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns with the bytes of the token ids as ``decoded``, binary."""
     keep = [c for c in (tokens.columns if keep is None else keep) if c != "decoded"]
-    shared = _shared(tokens, path)
+    encoder_of = _setup(tokens, path, pattern)
     schema = T.StructType([tokens.schema[c] for c in keep] + [T.StructField("decoded", T.BinaryType())])
 
     def run(batches):
-        encoder = encoder_of(shared, pattern)
+        encoder = encoder_of()
         for batch in batches:
             made = [encoder.decode(np.array(ids or [], "<u4").tobytes()) for ids in batch.column(column).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(made, pa.binary())], names=[*keep, "decoded"])
@@ -173,7 +174,7 @@ def digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", te
 
     Encodes and decodes in one pass, so that ids of long texts need not be stored.
     """
-    shared = _shared(docs, path)
+    encoder_of = _setup(docs, path, pattern)
 
     def work(piece, encoder):
         counts, ids, texts = [], [], []
@@ -189,4 +190,4 @@ def digests(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", te
         T.StructField("ids_sha256", T.StringType()),
         T.StructField("decoded_sha256", T.StringType()),
     ]
-    return map_text(docs, [doc_id], text, fields, work, lambda: encoder_of(shared, pattern))
+    return map_text(docs, [doc_id], text, fields, work, encoder_of)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbtide.llm import byte_bpe, language_kernel, license_templates, quality_knn, rotated_codes
+from ebbtide.llm import byte_bpe, decontaminate, fuzzy_lines, language_kernel, license_templates, order_minhash, quality_knn, rotated_codes
 from ebbtide.llm.sampling import held_out
 
 
@@ -43,12 +43,29 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.membership_of(table(spark, sf_dir, "documents"))
+
+
+def contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def deduplicated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = fuzzy_lines.deduplicate(docs, report=True)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_knn": quality_classifier,
+    "op2_order_minhash": near_duplicates,
     "op3_rotated_codes": nearest_neighbours,
     "op4_license_templates": license_scan,
     "op5_byte_bpe": bpe_round_trip,
     "op8_language_kernel": language_id,
+    "op9_decontaminate": contaminated,
+    "op10_fuzzy_lines": deduplicated_lines,
 }
 
 ORACLES: dict[str, str] = {}
