@@ -6,8 +6,8 @@ length and the share of the direction that the signs keep. From bits and scalars
 the inner product with a query is estimated without bias, and the error stays
 within a multiple of a known width. Rows are dealt evenly to blocks; a block of
 base rows meets a block of queries in one task, where the queries are compared
-with the packed codes and only vectors whose upper bound reaches the 20th lower
-bound are ranked by exact products of the original vectors. Blocks' best rows
+with the packed codes and only vectors whose upper bound reaches the score of the best
+ones found so far are ranked by exact products of the original vectors. Blocks' best rows
 are merged by query.
 
 Cases: vectors that are null, zero or hold null or non-finite components take no
@@ -34,7 +34,8 @@ from ebbtide.session import stage
 class Settings:
     base_rows: int = 8192  # rows of a block; a task holds one block of each
     query_rows: int = 4096
-    widths: float = 2.5  # error bound in standard widths
+    queries_at_once: int = 64
+    widths: float = 2.2  # error bound in standard widths
     seed: int = 11
 
 
@@ -75,29 +76,35 @@ def bounds(queries: np.ndarray, bits: np.ndarray, length: np.ndarray, kept: np.n
     return estimate, widths * np.linalg.norm(queries, axis=1).astype(np.float32)[:, None] * spread.astype(np.float32)
 
 
-def exact(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Row by row inner products in double precision, summed in the order of the components."""
-    total = np.zeros(len(queries))
+def exact(queries: np.ndarray, vectors: np.ndarray, q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Inner products of chosen rows in double precision, summed in the order of the components."""
+    total = np.zeros(len(q))
     for k in range(queries.shape[1]):
-        total += queries[:, k] * vectors[:, k]
+        total += queries[q, k] * vectors[v, k]
     return total
 
 
-def best_in_block(queries, query_ids, vectors, vec_ids, codes, centre, turn, k: int, widths: float):
-    """Query ids, vec ids and exact scores of the k best rows of one block for each query."""
+def best_in_block(queries, query_ids, vectors, vec_ids, codes, centre, turn, k: int, settings: Settings):
+    """Query ids, vec ids and exact scores of the k best rows of one block for each query.
+
+    The k-th best exact score among the rows of largest estimate is the bar;
+    then all rows are ranked exactly whose upper bound reaches it.
+    """
     out = []
-    for begin in range(0, len(queries), 256):
-        own, ids = queries[begin : begin + 256], query_ids[begin : begin + 256]
-        estimate, error = bounds(own, *codes, centre, turn, widths)
-        low, high = estimate - error, estimate + error
+    for begin in range(0, len(queries), settings.queries_at_once):
+        own, ids = queries[begin : begin + settings.queries_at_once], query_ids[begin : begin + settings.queries_at_once]
+        estimate, error = bounds(own, *codes, centre, turn, settings.widths)
         same = ids[:, None] == vec_ids[None, :]
-        low[same] = high[same] = -np.inf
-        if low.shape[1] > k:
-            floor = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k]
-        else:
-            floor = np.full(len(own), -np.inf)
-        q, v = np.nonzero((high >= floor[:, None]) & ~same)
-        score = exact(own[q], vectors[v])
+        estimate[same] = -np.inf
+        bar = np.full(len(own), -np.inf)
+        tried = min(4 * k, estimate.shape[1])
+        if tried > k:
+            likely = np.argpartition(-estimate, tried - 1, axis=1)[:, :tried]
+            sure = exact(own, vectors, np.repeat(np.arange(len(own)), tried), likely.ravel()).reshape(likely.shape)
+            sure[np.take_along_axis(same, likely, 1)] = -np.inf
+            bar = np.partition(sure, tried - k, axis=1)[:, tried - k]
+        q, v = np.nonzero((estimate + error >= bar[:, None] - 1e-6) & ~same)
+        score = exact(own, vectors, q, v)
         order = np.lexsort((vec_ids[v], -score, q))
         q, v, score = q[order], v[order], score[order]
         place = np.arange(len(q)) - np.searchsorted(q, q)
@@ -147,7 +154,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, settings: Setting
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         bits = np.frombuffer(b"".join(right.column("bits").to_pylist()), np.uint8).reshape(len(right), -1)
         codes = (bits, right.column("length").to_numpy(), right.column("kept").to_numpy())
-        q, v, s = best_in_block(matrix(left), left.column("vec_id").to_numpy(), matrix(right), right.column("vec_id").to_numpy(), codes, centre, turn, k, settings.widths)
+        q, v, s = best_in_block(matrix(left), left.column("vec_id").to_numpy(), matrix(right), right.column("vec_id").to_numpy(), codes, centre, turn, k, settings)
         return pa.table({"query_id": q, "vec_id": v, "score": s})
 
     met = asking.groupBy(*keys).cogroup(base.groupBy(*keys)).applyInArrow(meet, found)
