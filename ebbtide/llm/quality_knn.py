@@ -1,7 +1,7 @@
 """Text quality by nearest-neighbour voting in a latent semantic space.
 
-Texts become hashed counts of byte pairs and triples, damped, weighted by their
-rarity and projected on the leading singular vectors of a labelled sample. The
+Texts become hashed counts of byte pairs and triples and counts of words that
+repeat the word before, damped, weighted by their rarity and projected on the leading singular vectors of a labelled sample. The
 labelled vectors are broadcast (their number and width are parameters); every
 document is compared with all of them by blocked matrix products, and its
 nearest neighbours vote with their labels, weighted by a power of the cosine.
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ebbtide.llm.batches import bucket, filter_text, map_text, ngram_codes, utf8
+from ebbtide.llm.batches import Words, bucket, filter_text, map_text, ngram_codes, utf8
 from ebbtide.llm.sampling import bounded, thinned
 
 
@@ -32,13 +32,18 @@ class Settings:
     bits: int = 11  # 2**bits slots of n-grams
     latent: int = 48
     per_label: int = 1500  # labelled documents of each label that are kept as neighbours
-    neighbours: int = 25
-    power: float = 6.0
+    neighbours: int = 15
+    power: float = 12.0
+    good_weight: float = 2.0  # votes of label 1, which is commoner than in the sample, count so much more
+    repeat_weight: float = 2.0
     seed: int = 7
 
 
+REPEAT_SLOTS = 4
+
+
 def counts(column: pa.Array, bits: int) -> np.ndarray:
-    """Damped n-gram counts, a row for each text, scaled to the text's length."""
+    """Damped counts, a row for each text, scaled to the text's length: n-grams, then words that repeat the word before."""
     data, offsets = utf8(column)
     rows, width = len(offsets) - 1, 1 << bits
     total = np.zeros(rows * width)
@@ -47,7 +52,16 @@ def counts(column: pa.Array, bits: int) -> np.ndarray:
         total += np.bincount(row.astype(np.int64) * width + bucket(code, n, bits), minlength=rows * width)
     total = total.reshape(rows, width)
     length = np.maximum(np.diff(offsets), 1)[:, None]
-    return np.log1p(total * (1000.0 / length)).astype(np.float32)
+    words = Words(column)
+    number = np.diff(words.offsets)
+    again = np.zeros(len(words.hash))
+    again[1:] = words.hash[1:] == words.hash[:-1]
+    again[words.offsets[:-1][number > 0]] = 0
+    row = np.repeat(np.arange(rows), number)
+    repeats = np.bincount(row, again, minlength=rows) * 1000.0 / np.maximum(number, 60)
+    # several slots give the repeats the weight of as many n-grams
+    total = np.concatenate([total * (1000.0 / length), np.repeat(repeats[:, None], REPEAT_SLOTS, axis=1) ** 2], axis=1)
+    return np.log1p(total).astype(np.float32)
 
 
 @dataclass(frozen=True)
@@ -74,6 +88,7 @@ class Model:
             k = min(self.settings.neighbours, cosine.shape[1])
             near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
             pull = np.maximum(np.take_along_axis(cosine, near, 1).astype(float), 0) ** self.settings.power
+            pull *= np.where(self.labels[near] > 0.5, self.settings.good_weight, 1.0)
             total = pull.sum(axis=1)
             vote = (pull * self.labels[near]).sum(axis=1)
             made[begin : begin + 256] = np.where(total > 0, vote / np.where(total > 0, total, 1), self.share)
@@ -105,10 +120,11 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), doc
     packed = map_text(rows, ["_id", "_label"], "text", [T.StructField("counts", T.BinaryType())], lambda piece: [[r.tobytes() for r in counts(piece.column("text"), settings.bits)]])
     got = packed.orderBy(F.xxhash64("_id", "counts")).limit(most).collect()
     if not got:
-        return Model(settings, np.ones(1 << settings.bits, np.float32), np.zeros((1 << settings.bits, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5)
+        return Model(settings, np.ones((1 << settings.bits) + REPEAT_SLOTS, np.float32), np.zeros(((1 << settings.bits) + REPEAT_SLOTS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5)
     x = np.stack([np.frombuffer(r["counts"], np.float32) for r in got])
     y = np.array([r["_label"] for r in got], float)
     weight = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + np.float32(0.1)
+    weight[-REPEAT_SLOTS:] = settings.repeat_weight
     unit = x * weight
     unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-9)
     basis = leading_vectors(unit, settings.latent, settings.seed).astype(np.float32)
