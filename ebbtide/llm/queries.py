@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbtide.llm import byte_bpe, context_tree, decontaminate, fuzzy_lines, language_kernel, license_templates, order_minhash, quality_knn, rotated_codes
+from ebbtide.llm import byte_bpe, context_tree, decontaminate, fuzzy_lines, language_kernel, license_templates, order_minhash, private_data, quality_knn, rotated_codes
 from ebbtide.llm.sampling import held_out
 
 
@@ -61,6 +61,10 @@ def context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.score(table(spark, sf_dir, "documents"), ~held_out(F.col("doc_id"), 5, 1))
 
 
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data.digest(private_data.find(table(spark, sf_dir, "documents"), ["doc_id"]), ["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_knn": quality_classifier,
     "op2_order_minhash": near_duplicates,
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_license_templates": license_scan,
     "op5_byte_bpe": bpe_round_trip,
     "op6_context_tree": context_tree_scores,
+    "op7_private_data": personal_data,
     "op8_language_kernel": language_id,
     "op9_decontaminate": contaminated,
     "op10_fuzzy_lines": deduplicated_lines,
