@@ -1,6 +1,7 @@
 """A corpus pipeline: documents in, token digests of the kept text out.
 
-STAGES are applied in order; each reads what its predecessor has written.
+STAGES are applied in order; each reads what its predecessor has written. All
+but the last return the columns of documents.
 """
 
 from __future__ import annotations
@@ -10,17 +11,36 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbtide.llm import byte_bpe, quality_knn
+from ebbtide.llm import byte_bpe, decontaminate, fuzzy_lines, order_minhash, quality_knn
 from ebbtide.llm.sampling import held_out
 from ebbtide.session import stage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts; it learns from the labels of the rows that aren't held out."""
     model = quality_knn.fit(docs.where(~held_out(F.col("doc_id"), 3, 1)), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_knn.accepted(docs, model)
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with one line of each group of equal or nearly equal lines; n_chars follows the text."""
+    kept = fuzzy_lines.deduplicate(docs)
+    if "n_chars" not in docs.columns:
+        return kept
+    chars = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return kept.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(chars))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return order_minhash.first_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of each document's text."""
     import public_tokenizers
@@ -30,10 +50,14 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_classifier", quality),
+    ("line_dedup", lines),
+    ("minhash_near_dedup", near_duplicates),
+    ("benchmark_decontamination", decontamination),
     ("byte_bpe", tokens),
 ]
 
-# quality votes, edit chains and byte-level merges aren't expressible in SQL
+# neighbours' votes, edit distances, connected components and byte-pair merges aren't expressible in SQL;
+# tests compare the stages with brute-force versions
 ORACLE_SQL = None
 
 

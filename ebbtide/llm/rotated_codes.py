@@ -35,7 +35,7 @@ class Settings:
     base_rows: int = 8192  # rows of a block; a task holds one block of each
     query_rows: int = 4096
     queries_at_once: int = 64
-    widths: float = 2.2  # error bound in standard widths
+    widths: float = 1.6  # error bound in standard widths
     seed: int = 11
 
 
