@@ -56,11 +56,6 @@ def normalise_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[normalise_name(c) for c in df.columns])
 
 
-def struct_ranking_high(score: Column, tie_break: Column) -> Column:
-    """Ordering key for max_by that prefers the smallest ``tie_break`` on ties."""
-    return F.struct(score.alias("score"), (-tie_break).alias("tie"))
-
-
 def null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     """Join condition matching NULL keys to NULL keys."""
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])

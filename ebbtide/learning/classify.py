@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ebbtide.learning.matrix import class_weights, side_by_side
+from ebbtide.learning.matrix import class_weights, column_strategy, side_by_side, tree_depth
 from ebbtide.operators.metrics import classification_metrics, roc_auc
 from ebbtide.operators.ordering import hash_rank
 
@@ -80,16 +80,15 @@ def _estimators(spec: Spec, rows: int, features: str) -> list:
                 **common,
             )
         ]
-    depth = p["depth"] if "depth" in p else max(2, round(math.log2(p["leaves"])))
     extra = {"validationIndicatorCol": p["stop_on"]} if "stop_on" in p else {}
     return [
         GBTClassifier(
             featuresCol=features,
             maxIter=p["rounds"],
-            maxDepth=depth,
+            maxDepth=tree_depth(p),
             stepSize=p["rate"],
             subsamplingRate=p.get("row_share", 1.0),
-            featureSubsetStrategy=str(p.get("column_share", 1.0)) if p.get("column_share", 1.0) < 1 else "all",
+            featureSubsetStrategy=column_strategy(p),
             minInstancesPerNode=p.get("min_leaf", 1),
             seed=SEED,
             **extra,

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
@@ -50,6 +51,17 @@ def class_weights(df: DataFrame, label: str = "is_churn") -> Column:
     return F.when(F.col(label) == 1, F.lit(n / (2.0 * pos))).otherwise(F.lit(n / (2.0 * (n - pos))))
 
 
+def tree_depth(params: Mapping) -> int:
+    """Depth of a boosted tree; a number of leaves becomes the depth of a full tree with about as many."""
+    return params["depth"] if "depth" in params else max(2, round(math.log2(params["leaves"])))
+
+
+def column_strategy(params: Mapping) -> str:
+    """Share of the columns tried at each split, in Spark's notation."""
+    share = params.get("column_share", 1.0)
+    return str(share) if share < 1 else "all"
+
+
 def side_by_side(jobs: Sequence[Callable[[], object]], workers: int = PARALLEL_FITS) -> list:
     """Run independent fits from a few driver threads; results keep the order of ``jobs``."""
     if len(jobs) == 1:

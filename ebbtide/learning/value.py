@@ -11,7 +11,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.learning.matrix import side_by_side
+from ebbtide.learning.matrix import column_strategy, side_by_side, tree_depth
 from ebbtide.operators.metrics import regression_metrics
 
 SEED = 42
@@ -55,8 +55,8 @@ def fit_boosted(train: DataFrame, params: Mapping) -> PipelineModel:
         stages=[
             GBTRegressor(
                 featuresCol="features", labelCol="clv", predictionCol="predicted_clv", maxIter=params["rounds"],
-                maxDepth=params["depth"], stepSize=params["rate"], subsamplingRate=params.get("row_share", 1.0),
-                minInstancesPerNode=params.get("min_leaf", 1), seed=SEED,
+                maxDepth=tree_depth(params), stepSize=params["rate"], subsamplingRate=params.get("row_share", 1.0),
+                featureSubsetStrategy=column_strategy(params), minInstancesPerNode=params.get("min_leaf", 1), seed=SEED,
             )
         ]
     ).fit(train)

@@ -1,40 +1,26 @@
 """Running totals and ranks over a global order, without a global sort in one task.
 
-Rows are first combined to one row per (group, value). Small results take one
-window. Larger ones are cut into value ranges of about equal size; each range
-is summed, a window over the few range totals gives every range its starting
-offset, and the windows over rows run inside the ranges. A group holding most
-of the rows is therefore spread over many tasks.
+Rows are first combined to one row per (group, value) and dealt to value ranges
+of about equal size, however many rows there are; a small table is one range.
+Each range is summed, a window over the range totals gives every range its
+starting offset, and the windows over rows run inside the ranges. A group
+holding most of the rows is therefore spread over many tasks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ebbtide.functions.columns import null_safe_on
 from ebbtide.session import stage
 
 ROWS_PER_RANGE = 250_000
-MAX_RANGES = 4096
-CUT_SAMPLE_PER_RANGE = 500
-HASH_RANGE_CHARS = 3
-
-
-def _split_points(values: DataFrame, order: str, rows: int, ranges: int) -> list[float]:
-    """At most ``ranges - 1`` increasing cut points of a numeric column.
-
-    Only where the cuts fall depends on the sample; every row is still ranked.
-    """
-    share = min(1.0, CUT_SAMPLE_PER_RANGE * ranges / rows)
-    sampled = values if share == 1.0 else values.sample(share, seed=1)
-    shares = [i / ranges for i in range(1, ranges)]
-    cuts = sampled.select(F.percentile_approx(F.col(order).cast("double"), shares, 20 * ranges)).first()[0]
-    return sorted(set(cuts or []))
 
 
 def running_totals(
@@ -48,31 +34,18 @@ def running_totals(
 ) -> DataFrame:
     """Add ``cum_<s>`` (inclusive) and ``all_<s>`` (group total) for each column in ``sums``.
 
-    ``combined`` holds one row per (by, order) and no NULL in ``order``.
+    ``combined`` holds one row per (by, order) and no missing value in
+    ``order``, which may have any type that can be ordered.
     ``needed(before, inside, total)`` may tell from the first sum which value
     ranges the caller has a use for; rows of other ranges may then be left out
     before the shuffle.
     """
     by = list(by)
     base = stage(combined, "ordered")
-    rows = base.count()
+    ranges = max(1, math.ceil(base.count() / rows_per_range))
     direction = F.col(order).desc() if descending else F.col(order).asc()
-    if rows <= rows_per_range:
-        group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-        running = group.orderBy(direction).rowsBetween(W.unboundedPreceding, 0)
-        return base.select(
-            "*",
-            *[F.sum(s).over(running).alias(f"cum_{s}") for s in sums],
-            *[F.sum(s).over(group).alias(f"all_{s}") for s in sums],
-        )
-
-    ranges = min(MAX_RANGES, max(2, -(-rows // rows_per_range)))
-    edges = [-float("inf"), *_split_points(base, order, rows, ranges), float("inf")]
-    numbered = (
-        Bucketizer(splits=edges, inputCol="_order", outputCol="_range", handleInvalid="error")
-        .transform(base.withColumn("_order", F.col(order).cast("double")))
-        .drop("_order")
-    )
+    # equal values share a range; where the cuts fall depends on a sample, the result doesn't
+    numbered = stage(base.repartitionByRange(ranges, order).withColumn("_range", F.spark_partition_id()), "ranged")
     per_range = numbered.groupBy(*by, "_range").agg(*[F.sum(s).alias(s) for s in sums])
     group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     before = group.orderBy(F.col("_range").desc() if descending else F.col("_range").asc()).rowsBetween(
@@ -110,14 +83,13 @@ def hash_order(key: str, seed: int) -> Column:
 def hash_rank(df: DataFrame, key: str, seed: int, by: Sequence[str] = (), at_most: int | None = None) -> DataFrame:
     """Add ``hash_rank``: 1..n per group in seeded random order of a unique key.
 
-    The hash prefix is the value range, so ranges are even by construction.
-    With ``at_most`` the ranges that start beyond it are left out before the
+    The hash prefix is the value range, so ranges are even by construction; it
+    is as long as the number of rows asks for. With ``at_most`` the ranges that start beyond it are left out before the
     shuffle.
     """
     by = list(by)
-    keyed = df.withColumn("_hash", hash_order(key, seed)).withColumn(
-        "_range", F.substring("_hash", 1, HASH_RANGE_CHARS)
-    )
+    chars = 1 + math.ceil(math.log(max(1.0, df.count() / ROWS_PER_RANGE), 16))
+    keyed = df.withColumn("_hash", hash_order(key, seed)).withColumn("_range", F.substring("_hash", 1, chars))
     group = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
     before = group.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     sizes = keyed.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
@@ -140,9 +112,12 @@ def sample_n(df: DataFrame, n: int, seed: int, key: str, by: Sequence[str] = ())
 
 
 def combine(df: DataFrame, order: str, sums: Mapping[str, Column], by: Sequence[str] = ()) -> DataFrame:
-    """One row per (by, order) with summed columns; rows without an order value are left out."""
+    """One row per (by, order) with summed columns; rows without an order value, NULL or NaN, are left out."""
+    there = F.col(order).isNotNull()
+    if isinstance(df.schema[order].dataType, (T.FloatType, T.DoubleType)):
+        there &= ~F.isnan(order)
     return (
-        df.filter(F.col(order).isNotNull())
+        df.filter(there)
         .groupBy(*by, order)
         .agg(*[F.sum(expr).alias(name) for name, expr in sums.items()])
     )

@@ -11,6 +11,11 @@ def _text(pattern: str, value: Column, digits: int) -> Column:
     return F.when(value.isNotNull(), F.format_string(pattern, F.round(value, digits)))
 
 
+def _whole(before: str, value: Column, after: str = "") -> Column:
+    """Whole number with thousands separators between two texts; NULL stays NULL."""
+    return F.when(value.isNotNull(), F.concat(F.lit(before), F.format_number(F.round(value, 0), 0), F.lit(after)))
+
+
 def kpi_overview(balance: DataFrame, test_balance: DataFrame, comparison: DataFrame, roi: DataFrame) -> DataFrame:
     """(position, kpi, value) tiles from one-row inputs and a model comparison."""
     tiles = [
@@ -30,11 +35,11 @@ def report_segments(profiles: DataFrame) -> DataFrame:
         F.col("segment_label").alias("segment"),
         F.format_number("n_customers", 0).alias("customers"),
         _text("%.2f", F.col("churn_rate_pct"), 2).alias("churn_rate_pct"),
-        _text("%.0f", F.col("avg_daily_secs"), 0).alias("avg_daily_secs"),
+        _whole("", F.col("avg_daily_secs")).alias("avg_daily_secs"),
         _text("%.2f%%", F.col("completion_rate") * 100, 2).alias("completion_rate"),
         _text("%.2f%%", F.col("skip_rate") * 100, 2).alias("skip_rate"),
-        _text("%.0f", F.col("active_days"), 0).alias("active_days"),
-        _text("%.0f", F.col("days_since_last_log"), 0).alias("days_since_last_log"),
+        _whole("", F.col("active_days")).alias("active_days"),
+        _whole("", F.col("days_since_last_log")).alias("days_since_last_log"),
     )
 
 
@@ -42,10 +47,10 @@ def report_roi(by_segment: DataFrame) -> DataFrame:
     return by_segment.select(
         "segment",
         F.format_number("n_predicted_churners", 0).alias("predicted_churners"),
-        _text("$%.0f", F.col("mean_clv"), 0).alias("mean_clv"),
+        _whole("$", F.col("mean_clv")).alias("mean_clv"),
         _text("%.1f%%", F.col("mean_churn_prob") * 100, 1).alias("mean_churn_prob"),
-        _text("$%.0f", F.col("net_roi"), 0).alias("net_roi"),
-        _text("%.0f%%", F.col("roi_pct"), 0).alias("roi_pct"),
+        _whole("$", F.col("net_roi")).alias("net_roi"),
+        _whole("", F.col("roi_pct"), "%").alias("roi_pct"),
     )
 
 
@@ -64,8 +69,8 @@ def report_campaign(roi: DataFrame) -> DataFrame:
     """(position, kpi, value) tiles of the whole campaign."""
     tiles = [
         ("Target Segment Size", F.format_number("n_predicted_churners", 0)),
-        ("Mean CLV (Target)", _text("$%.0f", F.col("mean_clv"), 0)),
-        ("Campaign Cost", _text("$%.0f", F.col("campaign_cost"), 0)),
+        ("Mean CLV (Target)", _whole("$", F.col("mean_clv"))),
+        ("Campaign Cost", _whole("$", F.col("campaign_cost"))),
         ("Net ROI", _text("$%.0fk", F.col("net_roi") / 1000, 0)),
     ]
     return _tiles(roi, tiles)

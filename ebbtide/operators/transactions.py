@@ -10,26 +10,15 @@ from pyspark.sql import functions as F
 from ebbtide.functions.dates import as_day, days_from
 
 
-def fits_broadcast(df: DataFrame) -> bool:
-    """Does Catalyst's size estimate allow this side to be broadcast?"""
-    session = df.sparkSession
-    limit = session._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= limit
-
-
 def aggregate_labelled(fact: DataFrame, labels: DataFrame, aggregate: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``aggregate(fact)`` per ``msno``, for labelled ids only (one label row per id).
+    """``aggregate(fact)`` per ``msno``, for labelled ids only.
 
-    Few labels: drop the other ids with a broadcast semi join while scanning.
-    Many labels: aggregate first. The map-side combine shrinks the fact, a hot
-    id included, before its only shuffle, and the semi join then works on one
-    row per id in the partitioning the aggregate already has.
+    The map-side combine shrinks the fact, a hot id included, before its only
+    shuffle, and the semi join then works on one row per id in the partitioning
+    the aggregate already has. Where the ids can be broadcast, Catalyst moves
+    the semi join below the aggregate by itself.
     """
-    ids = labels.select("msno")
-    if fits_broadcast(ids):
-        return aggregate(fact.join(ids, "msno", "left_semi"))
-    return aggregate(fact).join(ids, "msno", "left_semi")
+    return aggregate(fact).join(labels.select("msno"), "msno", "left_semi")
 
 
 def _per_subscriber(tx: DataFrame) -> DataFrame:

@@ -77,8 +77,7 @@ def raw_query(fn: Query) -> Query:
 
 @raw_query
 def union_all_sources(spark, sf_dir):
-    both = union_drops(star_schema.transaction_drops(spark, sf_dir))
-    return both.select("msno", "transaction_date", "payment_plan_days", "plan_list_price", "actual_amount_paid", "source")
+    return union_drops(star_schema.transaction_drops(spark, sf_dir))
 
 
 @raw_query
@@ -158,9 +157,9 @@ def log_features_single(spark, sf_dir):
 
 @raw_query
 def log_features_partial(spark, sf_dir):
-    return union_drops(
-        {tag: logs.log_partial(d, C.secs_above, C.secs_up_to) for tag, d in star_schema.log_drops(spark, sf_dir).items()}
-    )
+    ids = star_schema.train_labels(spark, sf_dir).select("msno")
+    drops = star_schema.log_drops(spark, sf_dir).items()
+    return union_drops({tag: logs.log_partial(d, C.secs_above, C.secs_up_to).join(ids, "msno", "left_semi") for tag, d in drops})
 
 
 @raw_query
@@ -637,9 +636,16 @@ def oof_fold_assignment(s):
 # ---- fitted models (checked by properties in tests, since SQL cannot fit them) -------------------
 
 
+def _modelling(study: Study) -> Modelling:
+    """The fitted models of the registered queries; forgotten with the study."""
+    if "quick" not in study.fitted:
+        study.fitted["quick"] = Modelling(study, QUICK)
+    return study.fitted["quick"]
+
+
 def model_query(fn: Callable[[Modelling], DataFrame]) -> Callable[[Modelling], DataFrame]:
     """Register a query over models fitted on all rows of the study."""
-    QUERIES[fn.__name__] = lambda spark, sf_dir: rounded(fn(Modelling(star_schema_study(spark, sf_dir), QUICK)))
+    QUERIES[fn.__name__] = lambda spark, sf_dir: rounded(fn(_modelling(star_schema_study(spark, sf_dir))))
     return fn
 
 

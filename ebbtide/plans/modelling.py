@@ -60,14 +60,20 @@ class Modelling:
     def __init__(self, study: Study, effort: Effort = Effort()):
         self.study = study
         self.effort = effort
+        self._kept: dict[str, object] = {}
 
     def _once(self, name: str, build: Callable[[], object]):
-        if name not in self.study.models:
-            self.study.models[name] = build()
-        return self.study.models[name]
+        if name not in self._kept:
+            self._kept[name] = build()
+        return self._kept[name]
 
     def matrix(self) -> tuple[DataFrame, list[str]]:
-        return self._once("matrix", lambda: matrix.model_matrix(self.study.segmented()))
+        return self._once("matrix", lambda: matrix.model_matrix(self.segmented()))
+
+    def segmented(self) -> DataFrame:
+        """Master rows with the fitted ``cluster`` and ``segment_label``."""
+        found = self.kmeans_segments().select("msno", "cluster", "segment_label")
+        return self._once("segmented", lambda: stage(self.study.master().join(found, "msno", "left"), "fitted-segments"))
 
     def split(self, *names: str) -> DataFrame:
         return self.matrix()[0].filter(F.col("split").isin(*names))
@@ -117,7 +123,7 @@ class Modelling:
             specs = self.base_specs()
             start = time.monotonic()
             scores = stage(classify.out_of_fold(folded, specs, self.effort.folds), "out-of-fold")
-            self.study.models["out-of-fold-seconds"] = time.monotonic() - start
+            self._kept["out-of-fold-seconds"] = time.monotonic() - start
             return scores
 
         return self._once("out-of-fold", build)
@@ -157,7 +163,7 @@ class Modelling:
         """Validation metrics and fit seconds of all five models."""
         val = self.all_scores().filter(F.col("split") == "val")
         steps = {LINEAR: self.linear(), FOREST: self.forest(), BOOSTED: self.boosted(BOOSTED), LEAFWISE: self.boosted(LEAFWISE)}
-        seconds = {name: step[3] for name, step in steps.items()} | {ENSEMBLE: self.study.models["out-of-fold-seconds"]}
+        seconds = {name: step[3] for name, step in steps.items()} | {ENSEMBLE: self._kept["out-of-fold-seconds"]}
         return metrics.model_comparison(val, "is_churn", "churn_prob", 0.5, seconds)
 
     def final_name(self) -> str:
@@ -212,7 +218,6 @@ class Modelling:
         def build() -> dict[str, PipelineModel]:
             train = self.value_rows("train")
             boosted = [dict(self.tuned(n)[1].params) for n in (BOOSTED, LEAFWISE)]
-            boosted[1]["depth"] = max(2, boosted[1].pop("leaves").bit_length() - 1)
             fits = matrix.side_by_side(
                 [
                     lambda: value.fit_forest(train, **self.effort.value_forest),
@@ -260,11 +265,15 @@ class Modelling:
         features = self.split("test").join(rows.select("msno"), "msno", "left_semi")
         return explain.attributions(features, self.explained_model(), self.names, self.split("train"))
 
-    def sampled_attributions(self, n: int = 10_000) -> DataFrame:
-        return self.churn_attributions(ordering.sample_n(self.split("test").select("msno"), n, 42, "msno"))
+    def sampled_attributions(self, n: int | None = None) -> DataFrame:
+        """Attributions of all test rows, or of a sample of ``n``."""
+        rows = self.split("test").select("msno")
+        return self.churn_attributions(rows if n is None else ordering.sample_n(rows, n, 42, "msno"))
 
-    def value_attributions(self, n: int = 5_000) -> DataFrame:
-        rows = ordering.sample_n(self.value_rows("test").select("msno"), n, 42, "msno")
+    def value_attributions(self, n: int | None = None) -> DataFrame:
+        """Attributions of all valued test rows, or of a sample of ``n``."""
+        rows = self.value_rows("test").select("msno")
+        rows = rows if n is None else ordering.sample_n(rows, n, 42, "msno")
         features = self.value_rows("test").join(rows, "msno", "left_semi")
         return explain.attributions(
             features, self.value_models()[self.best_value_name()], self.value_names, self.value_rows("train")

@@ -352,7 +352,8 @@ def _rounded(columns, also=()) -> str:
 
 
 oracle("union_all_sources", ["transactions_src"], """
-SELECT msno, transaction_date, payment_plan_days, plan_list_price, actual_amount_paid, source FROM transactions_src""")
+SELECT msno, payment_method_id, payment_plan_days, plan_list_price, actual_amount_paid, is_auto_renew,
+       transaction_date, membership_expire_date, is_cancel, source FROM transactions_src""")
 oracle("row_counts_by_source", ["transactions_src", "user_logs_src"], """
 SELECT source, count(*) AS n, 'transactions' AS table_name FROM transactions_src GROUP BY source
 UNION ALL SELECT source, count(*), 'user_logs' FROM user_logs_src GROUP BY source""")
@@ -394,9 +395,10 @@ SELECT msno, round(total_secs, 6) AS total_secs, round(avg_daily_secs, 6) AS avg
        round(max_daily_secs, 6) AS max_daily_secs, total_songs_played, round(completion_rate, 6) AS completion_rate,
        round(skip_rate, 6) AS skip_rate, round(unique_songs_ratio, 6) AS unique_songs_ratio, active_days, last_log_date,
        first_log_date FROM logs_single""")
-oracle("log_features_partial", ["partial"], """
+oracle("log_features_partial", ["partial", "labels_v2"], """
 SELECT msno, source, round(sum_secs, 6) AS sum_secs, n_rows, round(max_secs, 6) AS max_secs, total_songs, sum_num100,
-       sum_num25, round(sum_unq_ratio, 6) AS sum_unq_ratio, n_unq_ratio_rows, last_log_date, first_log_date FROM partial""")
+       sum_num25, round(sum_unq_ratio, 6) AS sum_unq_ratio, n_unq_ratio_rows, last_log_date, first_log_date
+FROM partial WHERE msno IN (SELECT msno FROM labels_v2)""")
 oracle("log_features_twopass", ["logs"], f"SELECT msno, {_rounded(_LOGS)} FROM logs")
 oracle("log_coverage", ["labels_v2", "logs"], """
 SELECT n_labelled, n_with_logs, n_labelled - n_with_logs AS n_without_logs,
@@ -615,14 +617,14 @@ UNION ALL SELECT 3, 'Best Model ROC-AUC', printf('%.4f', round(max(auc), 4)) FRO
 UNION ALL SELECT 4, 'Campaign Net ROI', printf('$%.0fk', round(net_roi / 1000)) FROM roi""")
 oracle("report_segments", ["segmented"], f"""
 SELECT segment_label AS segment, format('{{:,}}', n_customers) AS customers, printf('%.2f', round(churn_rate_pct, 2)) AS churn_rate_pct,
-       printf('%.0f', round(avg_daily_secs)) AS avg_daily_secs, printf('%.2f%%', round(completion_rate * 100, 2)) AS completion_rate,
-       printf('%.2f%%', round(skip_rate * 100, 2)) AS skip_rate, printf('%.0f', round(active_days)) AS active_days,
-       printf('%.0f', round(days_since_last_log)) AS days_since_last_log
+       format('{{:,.0f}}', round(avg_daily_secs)) AS avg_daily_secs, printf('%.2f%%', round(completion_rate * 100, 2)) AS completion_rate,
+       printf('%.2f%%', round(skip_rate * 100, 2)) AS skip_rate, format('{{:,.0f}}', round(active_days)) AS active_days,
+       format('{{:,.0f}}', round(days_since_last_log)) AS days_since_last_log
 FROM (SELECT {_segprof})""")
 oracle("report_roi", ["seg_roi"], """
-SELECT segment, format('{:,}', n_predicted_churners) AS predicted_churners, printf('$%.0f', round(mean_clv)) AS mean_clv,
-       printf('%.1f%%', round(mean_churn_prob * 100, 1)) AS mean_churn_prob, printf('$%.0f', round(net_roi)) AS net_roi,
-       printf('%.0f%%', round(roi_pct)) AS roi_pct FROM seg_roi""")
+SELECT segment, format('{:,}', n_predicted_churners) AS predicted_churners, '$' || format('{:,.0f}', round(mean_clv)) AS mean_clv,
+       printf('%.1f%%', round(mean_churn_prob * 100, 1)) AS mean_churn_prob, '$' || format('{:,.0f}', round(net_roi)) AS net_roi,
+       format('{:,.0f}', round(roi_pct)) || '%' AS roi_pct FROM seg_roi""")
 oracle("linear_attributions", ["attributions"], """
 SELECT msno, feature, round(contribution, 6) AS contribution, round(value, 6) AS value FROM attributions""")
 cte("importance", ["attributions"], "SELECT feature, avg(abs(contribution)) AS m FROM attributions GROUP BY feature")
@@ -653,8 +655,8 @@ LATERAL (VALUES (1, 'Optimal Threshold', printf('%.2f', round(threshold, 2))), (
                 (4, 'Recall (Sensitivity)', printf('%.4f', round(s.recall, 4)))) t(position, kpi, value)""")
 oracle("report_campaign", ["roi"], """
 SELECT position, kpi, value FROM roi,
-LATERAL (VALUES (1, 'Target Segment Size', format('{:,}', n_predicted_churners)), (2, 'Mean CLV (Target)', printf('$%.0f', round(mean_clv))),
-                (3, 'Campaign Cost', printf('$%.0f', round(campaign_cost))),
+LATERAL (VALUES (1, 'Target Segment Size', format('{:,}', n_predicted_churners)), (2, 'Mean CLV (Target)', '$' || format('{:,.0f}', round(mean_clv))),
+                (3, 'Campaign Cost', '$' || format('{:,.0f}', round(campaign_cost))),
                 (4, 'Net ROI', printf('$%.0fk', round(net_roi / 1000)))) t(position, kpi, value)""")
 oracle("kv_threshold", ["sweep"], f"""
 SELECT key, value FROM (SELECT * FROM sweep ORDER BY business_cost, threshold LIMIT 1) s,

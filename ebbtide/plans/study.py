@@ -41,7 +41,8 @@ class Study:
         self.via_naming = via_naming
         self._all_transactions = all_transactions
         self._tables: dict[str, DataFrame] = {}
-        self.models: dict[str, object] = {}
+        # models that the catalogue has fitted on this study, by effort
+        self.fitted: dict[str, object] = {}
 
     def _written(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._tables:
@@ -68,14 +69,21 @@ class Study:
         return F.coalesce("registration_init_time", F.lit(0)) < self.config.val_from
 
     def transaction_features(self) -> DataFrame:
-        return transactions.transaction_features(self.transactions(), self.labels, self.config.feature_cutoff)
+        def build() -> DataFrame:
+            return transactions.transaction_features(self.transactions(), self.labels, self.config.feature_cutoff)
+
+        return self._written("transaction-features", build)
 
     def log_features(self) -> DataFrame:
         c = self.config
         drops = self.log_drops.values()
         if c.log_cutoff is not None:
             drops = [d.filter(F.col("date") < c.log_cutoff) for d in drops]
-        return logs.log_features_twopass(drops, self.labels, c.log_snapshot, c.secs_above, c.secs_up_to)
+
+        def build() -> DataFrame:
+            return logs.log_features_twopass(drops, self.labels, c.log_snapshot, c.secs_above, c.secs_up_to)
+
+        return self._written("log-features", build)
 
     def member_features(self) -> DataFrame:
         return members.member_features(

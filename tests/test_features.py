@@ -65,13 +65,9 @@ def test_cutoff_drops_later_rows(tx, labels):
     assert got["a"]["n_transactions"] == 1 and got["a"]["total_paid"] == 80
 
 
-def test_route_follows_the_size_check(spark, tx, labels):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        assert not transactions.fits_broadcast(labels)
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert transactions.fits_broadcast(labels.limit(1))
+def test_repeated_labels_do_not_multiply_rows(spark, tx, labels):
+    once, twice = (rows(transactions.transaction_features(tx, x)) for x in (labels, labels.unionByName(labels)))
+    assert once == twice
 
 
 @pytest.fixture(scope="module")

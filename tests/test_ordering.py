@@ -92,6 +92,23 @@ def test_curves(spark, per_range):
     assert ap["baseline_precision"] == pytest.approx(0.6)
 
 
+@pytest.mark.parametrize("per_range", [2, 10**6])
+def test_missing_equal_and_text_values_behave_alike_in_any_number_of_ranges(spark, per_range):
+    nan = float("nan")
+    pairs = [(1, 0.9), (0, 0.1), (1, 0.8), (0, 0.2), (0, nan), (1, None)]
+    df = spark.createDataFrame(pairs, "y int, s double")
+    assert metrics.roc_auc(df, "y", "s", rows_per_range=per_range).first()["auc"] == pytest.approx(1.0)
+    same = df.select("y", F.lit(0.5).alias("s"))
+    assert metrics.roc_auc(same, "y", "s", rows_per_range=per_range).first()["auc"] == pytest.approx(0.5)
+    words = spark.createDataFrame([(w,) for w in ("b", "a", "c", "a", None)], "w string")
+    got = running_totals(ordering.combine(words, "w", {"n": F.lit(1)}), "w", ["n"], rows_per_range=per_range).collect()
+    assert {r["w"]: (r["cum_n"], r["all_n"]) for r in got} == {"a": (2, 4), "b": (3, 4), "c": (4, 4)}
+    one = running_totals(spark.createDataFrame([(1.0, 2)], "v double, n int"), "v", ["n"], rows_per_range=per_range).collect()
+    assert [(r["cum_n"], r["all_n"]) for r in one] == [(2, 2)]
+    none = running_totals(spark.createDataFrame([], "v double, n int"), "v", ["n"], rows_per_range=per_range)
+    assert none.count() == 0
+
+
 def test_hash_rank_is_a_permutation_and_sampling_is_exact(spark):
     df = spark.range(500).select(F.col("id").alias("k"), (F.col("id") % 10 == 0).cast("int").alias("c"))
     ranked = hash_rank(df, "k", 1, ["c"]).collect()

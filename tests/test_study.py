@@ -77,3 +77,21 @@ def test_cases_and_top_risk(models):
     assert {r["case_id"] for r in cases.collect()} == {"A", "B", "C"}
     assert cases.agg(F.max("place")).first()[0] <= 15
     assert models.top_risk_attributions(10).select("msno").distinct().count() == 10
+
+
+def test_two_efforts_on_one_study_have_their_own_models(models):
+    other = Modelling(models.study, dataclasses.replace(TINY, value_forest={"trees": 1, "depth": 1, "min_leaf": 5}))
+    assert other.cluster_matrix() is not models.cluster_matrix()
+    assert models.matrix()[0].select("msno").count() == 1500
+
+
+def test_fitted_segments_reach_the_model_matrix(models):
+    sizes = {r["segment_label"]: r["count"] for r in models.kmeans_segments().groupBy("segment_label").count().collect()}
+    assert {r["segment_label"]: r["count"] for r in models.segmented().groupBy("segment_label").count().collect()} == sizes
+
+
+def test_leaves_and_column_shares_become_tree_settings():
+    from ebbtide.learning.matrix import column_strategy, tree_depth
+
+    assert [tree_depth({"leaves": n}) for n in (2, 8, 24, 31, 32)] == [2, 3, 5, 5, 5] and tree_depth({"depth": 7, "leaves": 2}) == 7
+    assert column_strategy({}) == column_strategy({"column_share": 1.0}) == "all" and column_strategy({"column_share": 0.6}) == "0.6"
