@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Text bytes handled at once; a longer text is handled alone.
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 18
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -105,20 +105,29 @@ class Words:
         self.hash = span_hash(self.data, self.start, self.stop)
 
 
+_BASE, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """The first n powers of the base of span_hash, and of its inverse mod 2**64; kept for the next piece."""
+    if len(_powers[0]) < n:
+        size = max(n, PIECE_BYTES + 1)
+        for i, base in enumerate((_BASE, _INVERSE)):
+            own = np.full(size, base)
+            own[0] = 1
+            _powers[i] = np.multiply.accumulate(own)
+    return [p[:n] for p in _powers]
+
+
 def span_hash(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span; spans ascend and don't overlap."""
+    """A 64-bit hash of each byte span: differences of a running polynomial, moved to a common power."""
     if not len(start):
         return np.zeros(0, np.uint64)
-    length = stop - start
-    total = int(length.sum())
-    first = np.cumsum(length) - length
-    within = np.arange(total, dtype=np.int64) - np.repeat(first, length)
-    base = values = _BYTE_HASH[data[within + np.repeat(start, length)]]
-    # each byte is turned by its place in the span; 61 is coprime to 64
-    turn = ((within * 61) & 63).astype(np.uint64)
-    far = (within >> 6).astype(np.uint64)
-    values = ((values << turn) | (values >> ((np.uint64(64) - turn) & np.uint64(63)))) + far * base
-    return mix(np.add.reduceat(values, first) + length.astype(np.uint64) * _MULTIPLY)
+    up, down = powers(len(data) + 1)
+    running = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE_HASH[data] * up[:-1], out=running[1:])
+    return mix((running[stop] - running[start]) * down[start] + (stop - start).astype(np.uint64) * _MULTIPLY)
 
 
 def shingles(words: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

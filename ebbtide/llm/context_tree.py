@@ -38,6 +38,7 @@ from ebbtide.session import stage
 
 DEPTH = 4
 GRAM, WORD = 0, 1
+PIECE = 1 << 21  # text bytes whose n-grams are counted at once
 END_WORD = np.int64(-1)
 
 
@@ -112,7 +113,7 @@ def block_counts(table: pa.Table) -> tuple[tuple, tuple]:
     """Different n-grams and words of a block, each with their counts in training texts."""
     batch = table.combine_chunks().to_batches()[0]
     grams, words, ends = [], [], 0
-    for piece in pieces(batch, "text"):
+    for piece in pieces(batch, "text", PIECE):
         texts = Texts(piece.column("text"))
         train = piece.column("train").to_numpy(zero_copy_only=False)
         grams.append(_uses(texts.codes, np.repeat(train, texts.grams)))
@@ -335,7 +336,7 @@ def score(docs: DataFrame, is_training: Column, settings: Settings = Settings(),
         word_at, word_value, word_known = Lookup(word_keys), val[~is_gram], flag[~is_gram].astype(np.int64)
         end = int(word_at.places(np.array([END_WORD]))[0])
         made = []
-        for piece in pieces(own.combine_chunks().to_batches()[0], "text"):
+        for piece in pieces(own.combine_chunks().to_batches()[0], "text", PIECE):
             texts = Texts(piece.column("text"))
             model = np.add.reduceat(gram_value[gram_at.places(texts.codes)], texts.gram_start)
             at = word_at.places(texts.words)
