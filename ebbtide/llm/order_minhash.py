@@ -3,12 +3,15 @@
 A text's k-mers are its five-word shingles, made unique by the number of earlier
 equal ones. A sketch takes the few k-mers that a random order puts first and
 keeps them in the order of the text, so that it depends on the order of the text
-as edit distance does. Texts that share a sketch are candidates. Each text of a
+as edit distance does. Texts that share two neighbouring sketches are candidates
+(one alone would gather all texts that hold some common passage). Each text of a
 bucket is compared with the bucket's first one; a banded alignment of the words
 decides, which gives up once more words are edited than the similarity allows.
 Linked texts form classes. What a bucket holds of other classes is then compared
-among itself, in blocks: one text of each class and bucket, where two sketches
-or more agree.
+among itself, in blocks: one text of each class and bucket, where a quarter of
+the sketches or more agree (of five-word shingles shared by 0.8, two thirds of
+the sketches are expected to) and where counts of words, dealt to 256 slots,
+don't already show too many edits.
 
 Equal texts are combined before all this, so that a group of copies costs one
 text; the pivot of a large group is sent to as many tasks as its partners need.
@@ -41,6 +44,8 @@ class Settings:
     similarity: float = 0.8  # least share of words that needn't be edited
     sketches: int = 20
     ordered: int = 2  # k-mers in a sketch
+    apart: tuple[int, ...] = (1, 2)  # sketches so far apart, around the circle, make a bucket together
+    agreeing: int = 5  # sketches of two texts that agree, in the second step
     partners: int = 256  # texts that one task aligns with a pivot
     block: int = 1024  # texts of a bucket that are compared at once in the second step
     seed: int = 3
@@ -96,10 +101,13 @@ def edits_within(a: np.ndarray, b: np.ndarray, limit: int) -> int | None:
     if abs(n - m) > limit:
         return None
     left, right, width = a.tobytes(), b.tobytes(), a.itemsize
+    own, other = a.tolist(), b.tolist()
 
     def run(x: int, y: int) -> int:
         """Number of equal words from here on."""
         most = min(n - x, m - y)
+        if most <= 0 or own[x] != other[y]:
+            return 0
         done, step = 0, 8
         while done < most:
             step = min(step, most - done)
@@ -200,18 +208,42 @@ def verified(pairs: DataFrame, texts: DataFrame, settings: Settings) -> DataFram
     return asked.join(texts, "key").groupBy("a", "part").applyInArrow(align, schema)
 
 
+SLOTS = 256
+
+
+def profile(words: np.ndarray) -> np.ndarray:
+    """How many words fall into each slot, 65535 at most."""
+    return np.minimum(np.bincount(words & np.uint32(SLOTS - 1), minlength=SLOTS), 65535).astype(np.uint16)
+
+
+def may_be_alike(own: np.ndarray, others: np.ndarray, n: int, m: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of the others' profiles allow the similarity: each edit changes a slot's count by one at most."""
+    differ = others.astype(np.int32) - own
+    least = np.maximum(np.maximum(differ, 0).sum(axis=1), np.maximum(-differ, 0).sum(axis=1))
+    return least <= (np.maximum(n, m) * (1 - similarity) + 1e-9).astype(np.int64)
+
+
+def _profiles(texts: DataFrame) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            words = [np.frombuffer(w, np.uint32) for w in batch.column("words").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([len(w) for w in words], pa.int64()), pa.array([profile(w).tobytes() for w in words], pa.binary())], names=["key", "n_words", "profile"])
+
+    return texts.mapInArrow(run, "key binary, n_words long, profile binary")
+
+
 def _second_look(members: DataFrame, roots: DataFrame, settings: Settings) -> DataFrame:
-    """Candidate pairs of different classes: in a bucket, texts that share two sketches or more.
+    """Candidate pairs of different classes: in a bucket, texts of which enough sketches agree.
 
-    ``members`` has bucket, key and sketches of buckets with several texts.
+    ``members`` has bucket, key, sketches, n_words and profile of buckets with several texts.
     """
     classed = members.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    one = classed.groupBy("bucket", "root").agg(F.min(F.struct("key", "sketches")).alias("one"))
+    one = classed.groupBy("bucket", "root").agg(F.min(F.struct("key", "sketches", "n_words", "profile")).alias("one"))
     sizes = one.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     # lots of about a block each: no bucket is numbered in one task
     lots = one.join(sizes, "bucket").withColumn("lots", F.ceil(F.col("n") / settings.block)).withColumn("lot", F.pmod(F.xxhash64("root"), F.col("lots")))
     met = lots.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1))).select(
-        "bucket", F.least("lot", "other").alias("i"), F.greatest("lot", "other").alias("j"), "lot", F.col("one.key").alias("key"), F.col("one.sketches").alias("sketches")
+        "bucket", F.least("lot", "other").alias("i"), F.greatest("lot", "other").alias("j"), "lot", "one.*"
     )
     schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
 
@@ -219,16 +251,18 @@ def _second_look(members: DataFrame, roots: DataFrame, settings: Settings) -> Da
         keys = table.column("key").to_pylist()
         lot = table.column("lot").to_numpy()
         values = np.array(table.column("sketches").combine_chunks().flatten()).reshape(len(keys), -1)
+        sizes = table.column("n_words").to_numpy()
+        profiles = np.frombuffer(b"".join(table.column("profile").to_pylist()), np.uint16).reshape(len(keys), SLOTS)
         same_lot = bool(table.column("i")[0].as_py() == table.column("j")[0].as_py())
         a, b = [], []
         for x in range(len(keys)):
-            shared = (values[x + 1 :] == values[x]).sum(axis=1)
-            good = shared >= 2
+            good = (values[x + 1 :] == values[x]).sum(axis=1) >= settings.agreeing
             if not same_lot:
                 good &= lot[x + 1 :] != lot[x]
-            for y in np.flatnonzero(good) + x + 1:
-                a.append(min(keys[x], keys[y]))
-                b.append(max(keys[x], keys[y]))
+            later = np.flatnonzero(good) + x + 1
+            later = later[may_be_alike(profiles[x], profiles[later], sizes[x], sizes[later], settings.similarity)]
+            a += [min(keys[x], keys[y]) for y in later]
+            b += [max(keys[x], keys[y]) for y in later]
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return met.groupBy("bucket", "i", "j").applyInArrow(compare, schema).distinct()
@@ -248,9 +282,10 @@ def classes(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc
     sketched = map_text(rows, ["doc_id", "key"], "text", fields, work)
     found = stage(sketched, "sketches")
     keys = stage(found.groupBy("key").agg(F.min("doc_id").alias("doc_id")), "text-keys")
+    two = [(i, (i + d) % settings.sketches) for d in settings.apart for i in range(settings.sketches)]
+    buckets_of = F.array(*[F.xxhash64(F.lit(i), F.lit(j), F.col("sketches")[i], F.col("sketches")[j]) for i, j in two])
     # copies have the same sketches: they are combined before the shuffle
-    each = found.where(F.col("sketches").isNotNull()).select("key", F.posexplode("sketches").alias("n", "value"))
-    each = each.groupBy(F.xxhash64("n", "value").alias("bucket"), "key").agg(F.lit(1).alias("one")).drop("one")
+    each = found.where(F.col("sketches").isNotNull()).select("key", F.explode(buckets_of).alias("bucket")).distinct()
     buckets = each.groupBy("bucket").agg(F.min("key").alias("a"), F.max("key").alias("z")).where(F.col("a") != F.col("z"))
     inside = stage(each.join(buckets.select("bucket", "a"), "bucket"), "buckets")
     pairs = stage(inside.where(F.col("key") != F.col("a")).select("a", F.col("key").alias("b")).distinct(), "pairs")
@@ -258,7 +293,7 @@ def classes(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc
     texts = stage(_word_arrays(rows, wanted), "texts")
     links = stage(verified(pairs, texts, settings), "links")
     roots = components(links, "a", "b")
-    own = found.join(wanted, "key", "left_semi").dropDuplicates(["key"]).select("key", "sketches")
+    own = found.join(wanted, "key", "left_semi").dropDuplicates(["key"]).select("key", "sketches").join(_profiles(texts), "key")
     more = _second_look(inside.select("bucket", "key").join(own, "key"), roots, settings).join(pairs, ["a", "b"], "left_anti")
     late = stage(verified(more, texts, settings), "links")
     if not late.isEmpty():
