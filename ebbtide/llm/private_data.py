@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbtide.session import stage
@@ -50,21 +50,40 @@ class Settings:
     longest: int = 64  # most characters of such a token
 
 
-def find_all(text: Column, pattern: str) -> Column:
-    """start, end and value of the leftmost non-overlapping matches, in code points."""
-    both = F.zip_with(
-        F.split(text, pattern, -1),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
-        lambda gap, value: F.struct(F.length(gap).cast("long").alias("gap"), value.alias("value")),
+def _none(kind: str) -> Column:
+    return F.expr(f"cast(array() as array<{kind}>)")
+
+
+def matches(df: DataFrame, text: str, name: str, pattern: str, first: Column, context: int) -> DataFrame:
+    """``df`` with the leftmost non-overlapping matches as column ``name``, in order: gap, value, left, right.
+
+    ``gap`` is the number of characters since the match before; ``left`` and
+    ``right`` hold up to ``context`` characters between a match and its
+    neighbours, with the neighbour. ``first`` is a cheap test that a text with
+    a match passes.
+    """
+    gaps, values = f"_{name}_gaps", f"_{name}_values"
+    df = df.withColumn(gaps, F.when(first, F.split(text, pattern, -1)).otherwise(_none("string")))
+    df = df.withColumn(values, F.when(first, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(_none("string")))
+    both = F.arrays_zip(
+        F.col(gaps).alias("gap"),
+        F.col(values).alias("value"),
+        F.concat(F.array(F.lit("")), values).alias("before"),
+        F.slice(gaps, F.lit(2), F.greatest(F.size(gaps), F.lit(1))).alias("next_gap"),
+        F.slice(values, F.lit(2), F.greatest(F.size(values), F.lit(1))).alias("after"),
     )
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,end:bigint,value:string>>)").alias("spans"))
 
-    def step(done, x):
-        begin = done["at"] + x["gap"]
-        end = begin + F.length(x["value"])
-        return F.struct(end.alias("at"), F.concat(done["spans"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("spans"))
+    def match(x, i):
+        return F.struct(
+            F.lit(name).alias("kind"),
+            i.alias("nth"),
+            F.length(x["gap"]).cast("long").alias("gap"),
+            x["value"].alias("value"),
+            F.right(F.concat(x["before"], x["gap"]), F.lit(context)).alias("left"),
+            F.left(F.concat(x["next_gap"], F.coalesce(x["after"], F.lit(""))), F.lit(context)).alias("right"),
+        )
 
-    return F.aggregate(F.filter(both, lambda x: x["value"].isNotNull()), start, step, lambda done: done["spans"])
+    return df.withColumn(name, F.transform(F.filter(both, lambda x: x["value"].isNotNull()), match)).drop(gaps, values)
 
 
 def _digits(value: Column) -> Column:
@@ -78,27 +97,47 @@ def luhn(digits: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda total, d: total + F.coalesce(d, F.lit(0))) % 10 == 0
 
 
-def base_spans(text: Column) -> dict[str, Column]:
-    """Spans of each kind whose checks hold; a cheap test of the text comes first."""
-    none = F.expr("cast(array() as array<struct<start:bigint,end:bigint,value:string>>)")
-    # a part of more than three digits is above 255 or has leading zeros; those go before the comparison
-    small = lambda part: F.length(F.regexp_replace(part, "^0+", "")) <= 3
-    part_fits = lambda part: small(part) & (F.substring(F.concat(F.lit("0"), F.regexp_replace(part, "^0+", "")), 1, 4).cast("int") <= 255)
-    checks = {
-        "email": (F.contains(text, F.lit("@")), EMAIL, None),
-        "ip": (F.rlike(text, F.lit(r"[0-9]\.[0-9]")), IP, lambda s: F.forall(F.split(s["value"], r"\."), part_fits)),
-        "card": (F.rlike(text, F.lit("[0-9]")), CARD, lambda s: F.length(_digits(s["value"])).between(13, 19) & luhn(_digits(s["value"]))),
-        "phone": (F.rlike(text, F.lit(r"\+[0-9]")), PHONE, lambda s: F.length(_digits(s["value"])).between(9, 15)),
-    }
-    return {kind: F.when(first, find_all(text, form) if check is None else F.filter(find_all(text, form), check)).otherwise(none) for kind, (first, form, check) in checks.items()}
-
-
-def _named(spans: Column, kind: str) -> Column:
-    return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+def _part_fits(part: Column) -> Column:
+    """A number of any length, with leading zeros or without, is at most 255."""
+    bare = F.regexp_replace(part, "^0+", "")
+    return (F.length(bare) <= 3) & (F.substring(F.concat(F.lit("0"), bare), 1, 4).cast("int") <= 255)
 
 
-def _of_kind(spans: str, kind: str) -> Column:
-    return F.filter(spans, lambda s: s["kind"] == kind)
+def scan(rows: DataFrame, context: int) -> DataFrame:
+    """``rows`` without their ``text``, with all matches of the forms and of tokens with digits as ``matches``."""
+    column = F.col("text")
+    forms = {
+        "email": (F.contains(column, F.lit("@")), EMAIL),
+        "ip": (F.rlike(column, F.lit(r"[0-9]\.[0-9]")), IP),
+        "card": (F.rlike(column, F.lit("[0-9]")), CARD),
+        "phone": (F.rlike(column, F.lit(r"\+[0-9]")), PHONE),
+        FOUND: (F.rlike(column, F.lit("[0-9]")), TOKEN),
+    }
+    for kind, (first, form) in forms.items():
+        rows = matches(rows, "text", kind, form, first, context)
+    return rows.withColumn("matches", F.concat(*forms)).drop("text", *forms)
+
+
+def located(found: DataFrame, settings: Settings) -> DataFrame:
+    """row, kind, start, end, value, left and right of the matches whose checks hold; ``found`` has row and matches."""
+    each = found.where(F.size("matches") > 0).select("row", F.inline("matches"))
+    so_far = F.sum(F.col("gap") + F.length("value")).over(Window.partitionBy("row", "kind").orderBy("nth"))
+    each = each.withColumn("end", so_far).withColumn("start", F.col("end") - F.length("value"))
+    digits = _digits(F.col("value"))
+    holds = (
+        F.when(F.col("kind") == "ip", F.forall(F.split("value", r"\."), _part_fits))
+        .when(F.col("kind") == "card", F.length(digits).between(13, 19) & luhn(digits))
+        .when(F.col("kind") == "phone", F.length(digits).between(9, 15))
+        .when(F.col("kind") == FOUND, F.length(digits) >= settings.digits)
+        .otherwise(True)
+    )
+    # marks around a token don't belong to it
+    bare = F.regexp_extract("value", r"^[^\p{L}\p{N}]*+(.*[\p{L}\p{N}])", 1)
+    marks = F.length(F.regexp_extract("value", r"^[^\p{L}\p{N}]*+", 0))
+    token = F.col("kind") == FOUND
+    each = each.where(holds).withColumn("start", F.when(token, F.col("start") + marks).otherwise(F.col("start")))
+    each = each.withColumn("value", F.when(token, bare).otherwise(F.col("value"))).withColumn("end", F.col("start") + F.length("value"))
+    return each.where(~token | (F.length("value") <= settings.longest)).select("row", "kind", "start", "end", "value", "left", "right")
 
 
 def _written(spans: Column) -> Column:
@@ -121,39 +160,12 @@ def _patterns(left: Column, right: Column) -> Column:
     return F.filter(made, lambda p: p.isNotNull() & F.substring(p, 3, 1 << 20).rlike(r"\p{L}"))
 
 
-def analyse(docs: DataFrame, keep: list[str], settings: Settings = Settings(), text: str = "text") -> DataFrame:
-    """``keep`` columns as `k_0`.. , the row's number, its base spans, and its instances with their patterns."""
-    rows = docs.select(*[docs[c].alias(f"k_{i}") for i, c in enumerate(keep)], F.coalesce(docs[text], F.lit("")).alias("text"))
-    spans = base_spans(F.col("text"))
-    rows = rows.select("*", *[v.alias(k) for k, v in spans.items()])
-    rows = rows.withColumn("base", F.concat(*[_named(F.col(k), k) for k in KINDS]))
-    none = F.expr("cast(array() as array<struct<start:bigint,end:bigint,value:string>>)")
-    tokens = F.when(F.rlike("text", F.lit("[0-9]")), find_all(F.col("text"), TOKEN)).otherwise(none)
-    # surrounding marks don't belong to a token
-    bare = F.transform(
-        tokens,
-        lambda s: F.struct(
-            (s["start"] + F.length(F.regexp_extract(s["value"], r"^[^\p{L}\p{N}]*+", 0))).alias("start"),
-            F.regexp_extract(s["value"], r"^[^\p{L}\p{N}]*+(.*[\p{L}\p{N}])", 1).alias("value"),
-        ),
-    )
-    bare = F.transform(bare, lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["value"])).alias("end"), s["value"].alias("value")))
-    fit = lambda s: (F.length(s["value"]) <= settings.longest) & (F.length(_digits(s["value"])) >= settings.digits)
-    rows = rows.withColumn("tokens", F.filter(bare, fit))
-    free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    instances = F.concat("base", _named(free, FOUND))
-
-    def around(s):
-        begin = F.greatest(s["start"] - settings.context, F.lit(0).cast("long"))
-        left = F.substring(F.col("text"), (begin + 1).cast("int"), (s["start"] - begin).cast("int"))
-        # a word cut by the window doesn't count
-        left = F.when(begin > 0, F.regexp_replace(left, r"^[^\s]*+", "")).otherwise(left)
-        right = F.substring(F.col("text"), (s["end"] + 1).cast("int"), F.lit(settings.context))
-        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.xxhash64(F.lower(s["value"])).alias("value"), _patterns(left, F.regexp_replace(right, r"^[^\s]*+", "")).alias("patterns"))
-
-    with_base = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    made = rows.select(*[f"k_{i}" for i in range(len(keep))], with_base.alias("base"), F.transform(instances, around).alias("instances"))
-    return made.withColumn("row", F.monotonically_increasing_id())
+def instances(spans: DataFrame, settings: Settings) -> DataFrame:
+    """row, kind, start, end, a hash of the value, and the lexical patterns of each span."""
+    # a word cut by the window doesn't count
+    left = F.when(F.length("left") < settings.context, F.col("left")).otherwise(F.regexp_replace("left", r"^[^\s]*+", ""))
+    right = F.regexp_replace("right", r"^[^\s]*+", "")
+    return spans.select("row", "kind", "start", "end", F.xxhash64(F.lower("value")).alias("value"), _patterns(left, right).alias("patterns"))
 
 
 def confident_patterns(instances: DataFrame, settings: Settings) -> DataFrame:
@@ -183,17 +195,29 @@ def confident_patterns(instances: DataFrame, settings: Settings) -> DataFrame:
 
 def find(docs: DataFrame, keep: list[str], settings: Settings = Settings(), text: str = "text") -> DataFrame:
     """``keep`` columns, ``base`` (spans found by form) and ``found`` (those found by context), as kind, start and end."""
-    rows = stage(analyse(docs, keep, settings, text), "private-data")
-    each = rows.select("row", F.explode("instances").alias("x")).select("row", "x.*")
-    good = confident_patterns(each.select("value", (F.col("kind") != FOUND).alias("seed"), "patterns"), settings)
-    open_ = each.where(F.col("kind") == FOUND).select("row", "kind", "start", "end", F.explode("patterns").alias("pattern"))
-    marked = open_.join(good, "pattern", "left_semi").select("row", F.struct("kind", "start", "end").alias("span")).distinct()
-    marked = marked.groupBy("row").agg(F.sort_array(F.collect_list("span")).alias("found"))
-    none = F.expr("cast(array() as array<struct<kind:string,start:bigint,end:bigint>>)")
-    return rows.join(marked, "row", "left").select(*[F.col(f"k_{i}").alias(c) for i, c in enumerate(keep)], "base", F.coalesce("found", none).alias("found"))
+    names = [F.col(f"k_{i}").alias(c) for i, c in enumerate(keep)]
+    rows = docs.select(*[docs[c].alias(f"k_{i}") for i, c in enumerate(keep)], F.coalesce(docs[text], F.lit("")).alias("text"))
+    rows = stage(scan(rows, settings.context).withColumn("row", F.monotonically_increasing_id()), "private-matches")
+    spans = stage(instances(located(rows, settings), settings), "private-spans")
+    seeds, tokens = spans.where(F.col("kind") != FOUND), spans.where(F.col("kind") == FOUND)
+    # tokens that a form covers are no others
+    covered = tokens.join(seeds.select("row", F.col("start").alias("from"), F.col("end").alias("to")), "row")
+    covered = covered.where((F.col("from") < F.col("end")) & (F.col("start") < F.col("to"))).select("row", "start", "end").distinct()
+    others = tokens.join(covered, ["row", "start", "end"], "left_anti")
+    both = seeds.select("value", F.lit(True).alias("seed"), "patterns").unionByName(others.select("value", F.lit(False).alias("seed"), "patterns"))
+    good = confident_patterns(both, settings)
+    marked = others.select("row", "kind", "start", "end", F.explode("patterns").alias("pattern")).join(good, "pattern", "left_semi")
+    marked = marked.select("row", "kind", "start", "end").distinct()
+    # kinds in the order in which they are listed, then by place
+    order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
+    listed = lambda df, name: df.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(order.alias("order"), "start", "end", "kind"))).alias(name))
+    out = rows.select("row", *[f"k_{i}" for i in range(len(keep))]).join(listed(seeds, "base"), "row", "left").join(listed(marked, "found"), "row", "left")
+    plain = lambda name: F.coalesce(F.transform(name, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))), _none("struct<kind:string,start:bigint,end:bigint>"))
+    return out.select(*names, plain("base").alias("base"), plain("found").alias("found"))
 
 
 def digest(found: DataFrame, keep: list[str]) -> DataFrame:
     """Counts of each kind, the hash of the base spans and all spans as text."""
-    counts = [F.size(_of_kind("base", k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    of_kind = lambda kind: F.filter("base", lambda s: s["kind"] == kind)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select(*keep, *counts, F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(F.concat("base", "found")).alias("spans"))
