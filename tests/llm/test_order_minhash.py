@@ -34,6 +34,19 @@ def test_banded_edit_distance_against_the_full_table():
                 assert om.edits_within(x, y, limit) == (want if want <= limit else None)
 
 
+def test_profiles_never_rule_out_what_is_alike():
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        a = rng.integers(0, 1 << 32, rng.integers(1, 60), dtype=np.uint32)
+        b = a.copy()
+        b[rng.random(len(b)) < 0.2] = 5
+        b = b[rng.random(len(b)) > 0.1]
+        if len(b) and om.alike(a, b, 0.8):
+            assert om.may_be_alike(om.profile(a), om.profile(b)[None, :], len(a), np.array([len(b)]), 0.8).all()
+    far = om.may_be_alike(om.profile(a), om.profile(rng.integers(0, 1 << 32, len(a), dtype=np.uint32))[None, :], len(a), np.array([len(a)]), 0.8)
+    assert len(a) < 20 or not far.any()
+
+
 def test_occurrence_labels():
     h = np.array([5, 5, 7, 5, 5], np.uint64)
     got = labelled(h, np.array([0, 3, 5]))
