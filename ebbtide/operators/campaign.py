@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbtide.config import OFFER_COSTS, RETENTION_STEPS, STEP
@@ -99,6 +99,11 @@ def segment_roi(scored: DataFrame, segments: DataFrame, retention: float = 0.25,
     return out.withColumn("outlook", F.when(F.col("net_roi") >= 0, "gain").otherwise("loss"))
 
 
+def in_order(few: DataFrame, by: str, tie: str) -> DataFrame:
+    """A table of a few rows, one a segment, with its ``position`` from the largest ``by`` down."""
+    return few.withColumn("position", F.row_number().over(Window.orderBy(F.col(by).desc(), F.col(tie)))).orderBy("position")
+
+
 def recommended_segment(by_segment: DataFrame) -> DataFrame:
     """The segment with the largest net return."""
     return by_segment.orderBy(F.col("net_roi").desc(), F.col("segment")).limit(1)

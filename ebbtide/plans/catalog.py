@@ -517,12 +517,13 @@ def residuals(s):
 
 @query
 def segment_clv(s):
-    return value.segment_value(s.rule_values(), s.segmented())
+    return campaign.in_order(value.segment_value(s.rule_values(), s.segmented()), "mean_clv", "segment_label")
 
 
 @query
 def segment_priority(s):
-    return value.segment_priority(value.segment_value(s.rule_values(), s.segmented()), s.segmented())
+    table = value.segment_priority(value.segment_value(s.rule_values(), s.segmented()), s.segmented())
+    return campaign.in_order(table, "priority_score", "segment_label")
 
 
 def _campaign(s: Study) -> DataFrame:
@@ -552,17 +553,17 @@ def roi_sensitivity(s):
 
 @query
 def segment_roi(s):
-    return campaign.segment_roi(_campaign(s), s.segmented(), C.retention_rate, C.offer_cost)
+    return campaign.in_order(campaign.segment_roi(_campaign(s), s.segmented(), C.retention_rate, C.offer_cost), "net_roi", "segment")
 
 
 @query
 def recommended_segment(s):
-    return campaign.recommended_segment(segment_roi(s))
+    return campaign.recommended_segment(segment_roi(s)).drop("position")
 
 
 @query
 def roi_summary(s):
-    return campaign.roi_summary(campaign_roi(s), segment_roi(s))
+    return campaign.roi_summary(campaign_roi(s), segment_roi(s).drop("position"))
 
 
 @query

@@ -587,10 +587,12 @@ SELECT coalesce(segment_label, 'Unknown') AS segment_label, avg(predicted_clv) A
        quantile_cont(predicted_clv, 0.5) AS median_clv
 FROM vals LEFT JOIN (SELECT msno, segment_label FROM segmented) USING (msno) GROUP BY 1""")
 oracle("segment_clv", ["seg_clv"], """
-SELECT segment_label, round(mean_clv, 2) AS mean_clv, n_customers, round(median_clv, 2) AS median_clv FROM seg_clv""")
+SELECT segment_label, round(mean_clv, 2) AS mean_clv, n_customers, round(median_clv, 2) AS median_clv,
+       CAST(row_number() OVER (ORDER BY seg_clv.mean_clv DESC, segment_label) AS INTEGER) AS position FROM seg_clv""")
 oracle("segment_priority", ["seg_clv", "segmented"], """
 SELECT segment_label, round(mean_clv, 2) AS mean_clv, round(churn_rate, 6) AS churn_rate,
-       round(mean_clv * churn_rate, 2) AS priority_score
+       round(mean_clv * churn_rate, 2) AS priority_score,
+       CAST(row_number() OVER (ORDER BY seg_clv.mean_clv * churn_rate DESC, segment_label) AS INTEGER) AS position
 FROM seg_clv JOIN (SELECT segment_label, avg(is_churn) AS churn_rate FROM segmented GROUP BY 1) USING (segment_label)""")
 oracle("campaign_scoring", ["campaign"], """
 SELECT msno, is_churn, churn_prob, predicted_churn, round(predicted_clv, 6) AS predicted_clv FROM campaign""")
@@ -604,7 +606,8 @@ FROM (SELECT k / CAST(20 AS DOUBLE) AS retention_rate, CAST(c AS DOUBLE) AS offe
              sum(CASE WHEN is_target = 1 THEN churn_prob * predicted_clv * (k / CAST(20 AS DOUBLE)) - c ELSE 0 END) AS net
       FROM target, range(2, 9) a(k), range(4, 21, 2) b(c) GROUP BY k, c)""")
 oracle("segment_roi", ["seg_roi"], f"""
-SELECT segment, {_roicols}, CASE WHEN net_roi >= 0 THEN 'gain' ELSE 'loss' END AS outlook FROM seg_roi""")
+SELECT segment, {_roicols}, CASE WHEN net_roi >= 0 THEN 'gain' ELSE 'loss' END AS outlook,
+       CAST(row_number() OVER (ORDER BY seg_roi.net_roi DESC, segment) AS INTEGER) AS position FROM seg_roi""")
 oracle("recommended_segment", ["seg_roi"], f"""
 SELECT segment, {_roicols}, CASE WHEN net_roi >= 0 THEN 'gain' ELSE 'loss' END AS outlook
 FROM seg_roi ORDER BY seg_roi.net_roi DESC, segment LIMIT 1""")
