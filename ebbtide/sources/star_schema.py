@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbtide.functions.dates import as_yyyymmdd
 
-DROP_BOUNDARY_TRANSACTIONS = 20000101
-DROP_BOUNDARY_LOGS = 20240122
+# first day of the second drop
+DROP_BOUNDARY_TRANSACTIONS = "2000-01-01"
+DROP_BOUNDARY_LOGS = "2024-01-22"
 LABEL_START = "2000-01-01"
 EARLIER_LABEL_START = "1999-01-01"
 
@@ -17,11 +18,20 @@ def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFr
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
 
 
-def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _drops(moment: str, boundary: str) -> dict[str, Column]:
+    """Conditions on a raw time column, so that each drop's scan reads its own part; a missing time is in none."""
+    first = F.lit(boundary).cast("timestamp_ntz")
+    return {"v1": F.col(moment) < first, "v2": F.col(moment) >= first}
+
+
+def transactions(spark: SparkSession, sf_dir: str, part: Column | None = None) -> DataFrame:
+    """All rows, or those of lineitem that meet ``part``."""
     lines = _read(
         spark, sf_dir, "lineitem",
         "l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_shipdate",
     )
+    if part is not None:
+        lines = lines.filter(part)
     orders = _read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderpriority")
     price = F.col("l_extendedprice")
     paid = price * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
@@ -41,13 +51,14 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transaction_drops(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    tx = transactions(spark, sf_dir)
-    early = F.col("transaction_date") < DROP_BOUNDARY_TRANSACTIONS
-    return {"v1": tx.filter(early), "v2": tx.filter(~early)}
+    return {tag: transactions(spark, sf_dir, part) for tag, part in _drops("l_shipdate", DROP_BOUNDARY_TRANSACTIONS).items()}
 
 
-def user_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def user_logs(spark: SparkSession, sf_dir: str, part: Column | None = None) -> DataFrame:
+    """One row a user and day, of all events or of those that meet ``part``, a condition on whole days."""
     events = _read(spark, sf_dir, "events", "user_id", "ts", "event_type", "value", "props")
+    if part is not None:
+        events = events.filter(part)
     kind = F.col("event_type")
     daily = events.groupBy(F.col("user_id").alias("msno"), as_yyyymmdd(F.col("ts")).alias("date")).agg(
         F.count_if(kind == "error").alias("num_25"),
@@ -62,9 +73,7 @@ def user_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log_drops(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    logs = user_logs(spark, sf_dir)
-    early = F.col("date") < DROP_BOUNDARY_LOGS
-    return {"v1": logs.filter(early), "v2": logs.filter(~early)}
+    return {tag: user_logs(spark, sf_dir, part) for tag, part in _drops("ts", DROP_BOUNDARY_LOGS).items()}
 
 
 def _labels_from(spark: SparkSession, sf_dir: str, start: str) -> DataFrame:
