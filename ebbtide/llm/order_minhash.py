@@ -232,40 +232,53 @@ def _profiles(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "key binary, n_words long, profile binary")
 
 
-def _second_look(members: DataFrame, roots: DataFrame, settings: Settings) -> DataFrame:
+def _second_look(members: DataFrame, own: DataFrame, roots: DataFrame, settings: Settings) -> DataFrame:
     """Candidate pairs of different classes: in a bucket, texts of which enough sketches agree.
 
-    ``members`` has bucket, key, sketches, n_words and profile of buckets with several texts.
+    ``members`` has bucket, band and key of buckets with several texts;
+    ``own`` has key, sketches, n_words and profile.
     """
-    classed = members.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    one = classed.groupBy("bucket", "root").agg(F.min(F.struct("key", "sketches", "n_words", "profile")).alias("one"))
+    classed = members.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("alone", F.col("root").isNull())
+    one = classed.groupBy("bucket", "band", F.coalesce("root", "key").alias("root")).agg(F.min("key").alias("key"), F.min("alone").alias("alone"))
     sizes = one.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     # lots of about a block each: no bucket is numbered in one task
     lots = one.join(sizes, "bucket").withColumn("lots", F.ceil(F.col("n") / settings.block)).withColumn("lot", F.pmod(F.xxhash64("root"), F.col("lots")))
     met = lots.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1))).select(
-        "bucket", F.least("lot", "other").alias("i"), F.greatest("lot", "other").alias("j"), "lot", "one.*"
+        "bucket", "band", F.least("lot", "other").alias("i"), F.greatest("lot", "other").alias("j"), "lot", "key", "alone"
     )
     schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+    pairs_of_sketches = np.array(bands(settings))
 
     def compare(table: pa.Table) -> pa.Table:
         keys = table.column("key").to_pylist()
         lot = table.column("lot").to_numpy()
+        alone = table.column("alone").to_numpy()
+        band = table.column("band")[0].as_py()
         values = np.array(table.column("sketches").combine_chunks().flatten()).reshape(len(keys), -1)
         sizes = table.column("n_words").to_numpy()
         profiles = np.frombuffer(b"".join(table.column("profile").to_pylist()), np.uint16).reshape(len(keys), SLOTS)
         same_lot = bool(table.column("i")[0].as_py() == table.column("j")[0].as_py())
         a, b = [], []
         for x in range(len(keys)):
-            good = (values[x + 1 :] == values[x]).sum(axis=1) >= settings.agreeing
+            agree = values[x + 1 :] == values[x]
+            good = agree.sum(axis=1) >= settings.agreeing
             if not same_lot:
                 good &= lot[x + 1 :] != lot[x]
+            # two texts without a class meet in every bucket they share; the first one is enough
+            first = (agree[:, pairs_of_sketches[:, 0]] & agree[:, pairs_of_sketches[:, 1]]).argmax(axis=1)
+            good &= (first == band) | ~(alone[x + 1 :] & alone[x])
             later = np.flatnonzero(good) + x + 1
             later = later[may_be_alike(profiles[x], profiles[later], sizes[x], sizes[later], settings.similarity)]
             a += [min(keys[x], keys[y]) for y in later]
             b += [max(keys[x], keys[y]) for y in later]
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    return met.groupBy("bucket", "i", "j").applyInArrow(compare, schema).distinct()
+    return met.join(own, "key").groupBy("bucket", "i", "j").applyInArrow(compare, schema).distinct()
+
+
+def bands(settings: Settings) -> list[tuple[int, int]]:
+    """The sketches that make a bucket together."""
+    return [(i, (i + d) % settings.sketches) for d in settings.apart for i in range(settings.sketches)]
 
 
 def classes(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -282,10 +295,9 @@ def classes(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc
     sketched = map_text(rows, ["doc_id", "key"], "text", fields, work)
     found = stage(sketched, "sketches")
     keys = stage(found.groupBy("key").agg(F.min("doc_id").alias("doc_id")), "text-keys")
-    two = [(i, (i + d) % settings.sketches) for d in settings.apart for i in range(settings.sketches)]
-    buckets_of = F.array(*[F.xxhash64(F.lit(i), F.lit(j), F.col("sketches")[i], F.col("sketches")[j]) for i, j in two])
+    buckets_of = F.array(*[F.xxhash64(F.lit(i), F.lit(j), F.col("sketches")[i], F.col("sketches")[j]) for i, j in bands(settings)])
     # copies have the same sketches: they are combined before the shuffle
-    each = found.where(F.col("sketches").isNotNull()).select("key", F.explode(buckets_of).alias("bucket")).distinct()
+    each = found.where(F.col("sketches").isNotNull()).select("key", F.posexplode(buckets_of).alias("band", "bucket")).distinct()
     buckets = each.groupBy("bucket").agg(F.min("key").alias("a"), F.max("key").alias("z")).where(F.col("a") != F.col("z"))
     inside = stage(each.join(buckets.select("bucket", "a"), "bucket"), "buckets")
     pairs = stage(inside.where(F.col("key") != F.col("a")).select("a", F.col("key").alias("b")).distinct(), "pairs")
@@ -294,7 +306,7 @@ def classes(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc
     links = stage(verified(pairs, texts, settings), "links")
     roots = components(links, "a", "b")
     own = found.join(wanted, "key", "left_semi").dropDuplicates(["key"]).select("key", "sketches").join(_profiles(texts), "key")
-    more = _second_look(inside.select("bucket", "key").join(own, "key"), roots, settings).join(pairs, ["a", "b"], "left_anti")
+    more = _second_look(inside.select("bucket", "band", "key"), own, roots, settings).join(pairs, ["a", "b"], "left_anti")
     late = stage(verified(more, texts, settings), "links")
     if not late.isEmpty():
         roots = components(links.unionByName(late), "a", "b")
