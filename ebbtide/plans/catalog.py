@@ -452,7 +452,9 @@ def average_precision(s):
 
 
 def _sweep(s: Study) -> DataFrame:
-    return metrics.threshold_sweep(s.rule_scores(), "is_churn", "churn_prob", C.fn_cost, C.fp_cost)
+    """The threshold is chosen on the validation split."""
+    val = s.rule_scores().filter(F.col("split") == "val")
+    return metrics.threshold_sweep(val, "is_churn", "churn_prob", C.fn_cost, C.fp_cost)
 
 
 @query
@@ -527,8 +529,12 @@ def segment_priority(s):
 
 
 def _campaign(s: Study) -> DataFrame:
-    """Scope labelled_retained: only subscribers known to have stayed have a value."""
-    return campaign.campaign_scoring(s.rule_scores(), s.rule_values(), C.default_threshold)
+    """Test subscribers at the threshold chosen on validation rows.
+
+    Scope labelled_retained: only subscribers known to have stayed have a value.
+    """
+    threshold = metrics.optimal_threshold(_sweep(s)).select("optimal_threshold").scalar()
+    return campaign.campaign_scoring(s.rule_scores().filter(F.col("split") == "test"), s.rule_values(), threshold)
 
 
 @query

@@ -254,10 +254,10 @@ SELECT *, least(clv_raw, (SELECT quantile_cont(clv_raw, {C.clv_cap_quantile}) FR
 FROM clv_raw""")
 cte("vals", ["clv"], f"""
 SELECT msno, split, clv AS actual_clv, clv * CAST({rules.VALUE_FACTOR} AS DOUBLE) AS predicted_clv FROM clv""")
-cte("campaign", ["scores", "vals"], f"""
-SELECT msno, is_churn, churn_prob, CASE WHEN churn_prob >= {C.default_threshold} THEN 1 ELSE 0 END AS predicted_churn,
-       coalesce(predicted_clv, 0) AS predicted_clv
-FROM scores LEFT JOIN vals USING (msno)""")
+cte("campaign", ["scores", "vals", "sweep"], """
+SELECT msno, is_churn, churn_prob, CASE WHEN churn_prob >= (SELECT threshold FROM sweep ORDER BY business_cost, threshold LIMIT 1)
+            THEN 1 ELSE 0 END AS predicted_churn, coalesce(predicted_clv, 0) AS predicted_clv
+FROM (SELECT * FROM scores WHERE split = 'test') LEFT JOIN (SELECT msno, predicted_clv FROM vals) USING (msno)""")
 cte("target", ["campaign"], f"""
 SELECT *, CASE WHEN predicted_churn = 1 AND is_high_value = 1 THEN 1 ELSE 0 END AS is_target
 FROM (SELECT *, CASE WHEN predicted_clv >= (SELECT quantile_cont(predicted_clv, {C.high_value_quantile}) FROM campaign
@@ -315,7 +315,8 @@ FROM (SELECT threshold,
              count(*) FILTER (is_churn = 0 AND churn_prob >= threshold) AS fp,
              count(*) FILTER (is_churn = 1 AND churn_prob < threshold) AS fn,
              count(*) FILTER (is_churn = 0 AND churn_prob < threshold) AS tn
-      FROM scores, (SELECT k / CAST(20 AS DOUBLE) AS threshold FROM range(2, 19) g(k)) GROUP BY threshold)""")
+      FROM scores, (SELECT k / CAST(20 AS DOUBLE) AS threshold FROM range(2, 19) g(k))
+      WHERE split = 'val' GROUP BY threshold)""")
 
 
 def _contribution(name: str, weight: float) -> str:
