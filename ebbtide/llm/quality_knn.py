@@ -58,7 +58,8 @@ def counts(column: pa.Array, bits: int) -> np.ndarray:
     again[1:] = words.hash[1:] == words.hash[:-1]
     again[words.offsets[:-1][number > 0]] = 0
     row = np.repeat(np.arange(rows), number)
-    repeats = np.bincount(row, again, minlength=rows) * 1000.0 / np.maximum(number, 60)
+    # one repeat is chance in a short text
+    repeats = np.maximum(np.bincount(row, again, minlength=rows) - 1, 0) * 1000.0 / np.maximum(number, 60)
     # several slots give the repeats the weight of as many n-grams
     total = np.concatenate([total * (1000.0 / length), np.repeat(repeats[:, None], REPEAT_SLOTS, axis=1) ** 2], axis=1)
     return np.log1p(total).astype(np.float32)

@@ -54,9 +54,9 @@ def test_quality_of_odd_rows(spark, documents, nothing):
     assert kept.columns == documents.columns and kept.count() == documents.count()
 
 
-def test_a_repeated_word_counts_once_for_each_repeat():
-    plain, repeated = quality_knn.counts(pa.array(["a b c d " * 20, "a a a a " * 20]), 8)
-    assert plain[-1] == 0 and repeated[-1] > 0
+def test_repeated_words_count_from_the_second_repeat_on():
+    plain, repeated, once = quality_knn.counts(pa.array(["a b c d " * 20, "a a a a " * 20, "of the the river"]), 8)
+    assert plain[-1] == once[-1] == 0 and repeated[-1] > 0
 
 
 def test_language_on_held_out_rows(spark):
