@@ -1,13 +1,12 @@
-"""Documents that contain benchmark items, found by fingerprints of item-sized windows.
+"""Documents that contain benchmark items, found by their shared shingles.
 
 Items and windows are compared by their five-word shingles, counted as often as
-they occur. A window that reaches the similarity shares a shingle with its item
-at some offset; only the item-sized windows that such a shingle points to are
-fingerprinted, so none is missed. A window's 64-bit SimHash is looked up in a
-multi-index: fingerprints within the radius agree with it in at least one of
-radius + 1 blocks of bits. Items found within the radius are verified by the
-exact weighted similarity, the sum of the smaller counts over the sum of the
-larger.
+they occur: the sum of the smaller counts over the sum of the larger. A window
+has as many words as the item; a text that is shorter is one window. Of all
+windows of a text the best one begins with a shingle of the item or ends with
+the text, so these are looked at, and those that put a shared shingle in its
+place in the item. A window is verified if it has enough places whose shingle
+the item has too; no window that reaches the similarity has fewer.
 
 The benchmark is read in groups of items of bounded size, each broadcast by
 itself, so that its size doesn't matter.
@@ -15,7 +14,7 @@ itself, so that its size doesn't matter.
 Cases: words are lower-cased runs of letters and digits; an item of 1 to 4
 words is one shingle of them all, and one without words or text is never found;
 a null or empty text holds none; every row is judged by itself, so repeated
-rows get equal results; a text without a full window isn't contaminated.
+rows get equal results; of equally good windows the first one looked at counts.
 """
 
 from __future__ import annotations
@@ -23,6 +22,7 @@ from __future__ import annotations
 import math
 import uuid
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ from ebbtide.llm.batches import Words, filter_text, mix, pieces, shingles
 class Settings:
     shingle: int = 5
     similarity: float = 0.8
-    radius: int = 19
+    radius: int = 19  # of Index.within; windows are verified whatever their fingerprint
     items_at_once: int = 20_000
     bytes_at_once: int = 32 << 20  # of item texts in a broadcast; a longer item goes alone
 
@@ -79,15 +79,24 @@ class Index:
             these = self.width[item] == k
             order = np.argsort(own[these], kind="stable")
             self.tables[int(k)] = (own[these][order], item[these][order], offset[these][order])
-        prints = np.array([fingerprint(s) for s in self.shingles], np.uint64)
-        self.prints = prints
-        edges = np.linspace(0, 64, settings.radius + 2).astype(int)
-        self.blocks = [(np.uint64(a), np.uint64((1 << int(b - a)) - 1)) for a, b in zip(edges, edges[1:])]
-        self.index: dict[tuple[int, int], np.ndarray] = {}
+
+    @cached_property
+    def prints(self) -> np.ndarray:
+        return np.array([fingerprint(s) for s in self.shingles], np.uint64)
+
+    @cached_property
+    def blocks(self) -> list[tuple[np.uint64, np.uint64]]:
+        edges = np.linspace(0, 64, self.settings.radius + 2).astype(int)
+        return [(np.uint64(a), np.uint64((1 << int(b - a)) - 1)) for a, b in zip(edges, edges[1:])]
+
+    @cached_property
+    def index(self) -> dict[tuple[int, int], np.ndarray]:
+        out: dict[tuple[int, int], np.ndarray] = {}
         for n, (shift, mask) in enumerate(self.blocks):
-            part = (prints >> shift) & mask
+            part = (self.prints >> shift) & mask
             for value in np.unique(part):
-                self.index[n, int(value)] = np.flatnonzero(part == value)
+                out[n, int(value)] = np.flatnonzero(part == value)
+        return out
 
     def within(self, print_: np.uint64) -> np.ndarray:
         """All items whose fingerprint is within the radius."""
@@ -101,7 +110,7 @@ class Index:
     def search(self, column: pa.Array) -> list[tuple[int, int, int, int, float]]:
         """(row, item, first word, words, similarity): each item's best window in each text, the first of equals."""
         words = Words(column)
-        found: dict[tuple[int, int], tuple[float, int]] = {}
+        found: dict[tuple[int, int], tuple[float, int, int]] = {}
         for k, (known, items, offsets) in self.tables.items():
             h, bounds, first = shingles(words, k)
             if not len(h):
@@ -114,22 +123,33 @@ class Index:
             low, high = np.searchsorted(known, h[hit]), np.searchsorted(known, h[hit], "right")
             each = np.repeat(np.arange(len(hit)), high - low)
             entry = np.repeat(low, high - low) + np.arange(len(each)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
-            item, start = items[entry], first[hit][each] - offsets[entry]
-            size = self.words[item]
-            row = row[each]
-            # item-sized windows that lie in the text
-            inside = (start >= words.offsets[row]) & (start + size <= words.offsets[row + 1])
-            windows = np.unique(np.stack([row, start, size], axis=1)[inside], axis=0)
-            for r, s, n in windows.tolist():
-                begin = bounds[r] + s - words.offsets[r]
-                own = h[begin : begin + max(n - k + 1, 1)]
-                for i in self.within(fingerprint(own)).tolist():
-                    if self.words[i] != n or self.width[i] != k:
-                        continue
-                    score = weighted_similarity(own, self.shingles[i])
-                    if score >= self.settings.similarity and score > found.get((r, i), (0.0, 0))[0]:
-                        found[r, i] = (score, s - int(words.offsets[r]))
-        return [(r, self.ids[i], s, int(self.words[i]), score) for (r, i), (score, s) in sorted(found.items())]
+            row, item = row[each], items[entry]
+            place = first[hit][each] - words.offsets[row]
+            length = words.offsets[row + 1] - words.offsets[row]
+            # the part of the key that names row and item, and the last start of a window
+            pair = (row * len(self.ids) + item) * (int(length.max()) + 1)
+            last = length - np.minimum(self.words[item], length)
+            starts, at = np.unique(np.concatenate([pair + np.clip(x, 0, last) for x in (place, place - offsets[entry])]), return_index=True)
+            at %= len(pair)
+            n = np.minimum(self.words[item], length)[at]
+            size, whole = np.maximum(n - k + 1, 1), np.maximum(self.words[item[at]] - k + 1, 1)
+            hits = np.unique(pair + place)
+            most = np.minimum(np.searchsorted(hits, starts + size) - np.searchsorted(hits, starts), whole)
+            bound = most / (size + whole - most)
+            likely = np.flatnonzero(bound >= self.settings.similarity)
+            # the best bounds first: others needn't be looked at once they can't be better
+            likely = likely[np.lexsort((starts[likely], -bound[likely]))]
+            for x in likely.tolist():
+                r, i = int(row[at[x]]), int(item[at[x]])
+                best, where = found.get((r, i), (0.0, 0, 0))[:2]
+                if bound[x] < best:
+                    continue
+                s = int(starts[x] - pair[at[x]])
+                begin = bounds[r] + s
+                score = weighted_similarity(h[begin : begin + size[x]], self.shingles[i])
+                if score >= self.settings.similarity and (score > best or score == best and s < where):
+                    found[r, i] = (score, s, int(n[x]))
+        return [(r, self.ids[i], s, n, score) for (r, i), (score, s, n) in sorted(found.items())]
 
 
 def _groups(benchmark: DataFrame, item_id: str, text: str, settings: Settings):

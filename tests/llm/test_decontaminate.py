@@ -104,3 +104,38 @@ def test_blocks_find_all_within_the_radius():
 def test_weighted_similarity():
     a, b = pa.array([1, 1, 2, 3]).to_numpy(), pa.array([1, 2, 2, 4]).to_numpy()
     assert dc.weighted_similarity(a, b) == 2 / 6
+
+
+def all_windows(texts, items):
+    """Best similarity of every item in every text, with whole texts where they are shorter."""
+    out = {}
+    for r, words in enumerate(texts):
+        for i, own in enumerate(items):
+            k, n = min(5, len(own)), min(len(own), len(words))
+            want = grams(own, k)
+            for s in range(len(words) - n + 1):
+                have = grams(words[s : s + n], k)
+                shared = sum((want & have).values())
+                score = shared / (sum(want.values()) + sum(have.values()) - shared)
+                if score >= 0.8:
+                    out[r, i] = max(out.get((r, i), 0), round(score, 9))
+    return out
+
+
+def test_cut_swapped_and_short_texts_against_all_windows():
+    rng = random.Random(6)
+    items, texts = [], []
+    for n in (38, 38, 30, 45, 60, 24, 7, 5):
+        item = [rng.choice("abcdefghij") + str(rng.randrange(40)) for _ in range(n)]
+        other = lambda m: ["o%d" % rng.randrange(900) for _ in range(m)]
+        items.append(item)
+        texts += [other(30) + item[:-3], item[3:] + other(30), item[:-1], item[1:], item[2:-2]]
+        texts += [other(20) + item[: n - 3] + item[n - 2 :], item[:2] + item[3:] + other(20)]
+        texts += [other(9) + item[n // 2 :] + item[: n // 2] + other(9), item[n // 2 :] + item[: n // 2]]
+        texts += [other(9) + item[: n // 3] + ["x"] + item[n // 3 :] + other(9), other(50)]
+    index = dc.Index(list(range(len(items))), [" ".join(w) for w in items], dc.Settings())
+    got = {(r, i): round(score, 9) for r, i, _, _, score in index.search(pa.array([" ".join(w) for w in texts]))}
+    want = all_windows(texts, items)
+    assert got == want and len(want) > 30
+    shortest = min(len(texts[r]) - len(items[i]) for r, i in want)
+    assert shortest < 0
