@@ -7,8 +7,8 @@ as edit distance does. Texts that share two neighbouring sketches are candidates
 (one alone would gather all texts that hold some common passage). Each text of a
 bucket is compared with the bucket's first one; a banded alignment of the words
 decides, which gives up once more words are edited than the similarity allows.
-Linked texts form classes. What a bucket holds of other classes is then compared
-among itself, in blocks: one text of each class and bucket, where a quarter of
+Linked texts form classes. Of what a bucket holds, every two texts of different
+classes are then compared, in blocks, so nothing is left to repeat once these links are in, where a quarter of
 the sketches or more agree (of five-word shingles shared by 0.8, two thirds of
 the sketches are expected to) and where counts of words, dealt to 256 slots,
 don't already show too many edits.
@@ -238,13 +238,12 @@ def _second_look(members: DataFrame, own: DataFrame, roots: DataFrame, settings:
     ``members`` has bucket, band and key of buckets with several texts;
     ``own`` has key, sketches, n_words and profile.
     """
-    classed = members.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("alone", F.col("root").isNull())
-    one = classed.groupBy("bucket", "band", F.coalesce("root", "key").alias("root")).agg(F.min("key").alias("key"), F.min("alone").alias("alone"))
-    sizes = one.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    classed = members.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    sizes = classed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket", "n")
     # lots of about a block each: no bucket is numbered in one task
-    lots = one.join(sizes, "bucket").withColumn("lots", F.ceil(F.col("n") / settings.block)).withColumn("lot", F.pmod(F.xxhash64("root"), F.col("lots")))
+    lots = classed.join(sizes, "bucket").withColumn("lots", F.ceil(F.col("n") / settings.block)).withColumn("lot", F.pmod(F.xxhash64("key"), F.col("lots")))
     met = lots.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1))).select(
-        "bucket", "band", F.least("lot", "other").alias("i"), F.greatest("lot", "other").alias("j"), "lot", "key", "alone"
+        "bucket", "band", F.least("lot", "other").alias("i"), F.greatest("lot", "other").alias("j"), "lot", "key", "root"
     )
     schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
     pairs_of_sketches = np.array(bands(settings))
@@ -252,22 +251,24 @@ def _second_look(members: DataFrame, own: DataFrame, roots: DataFrame, settings:
     def compare(table: pa.Table) -> pa.Table:
         keys = table.column("key").to_pylist()
         lot = table.column("lot").to_numpy()
-        alone = table.column("alone").to_numpy()
+        root = table.column("root").combine_chunks().dictionary_encode().indices.to_numpy()
         band = table.column("band")[0].as_py()
         values = np.array(table.column("sketches").combine_chunks().flatten()).reshape(len(keys), -1)
         sizes = table.column("n_words").to_numpy()
         profiles = np.frombuffer(b"".join(table.column("profile").to_pylist()), np.uint16).reshape(len(keys), SLOTS)
         same_lot = bool(table.column("i")[0].as_py() == table.column("j")[0].as_py())
         a, b = [], []
-        for x in range(len(keys)):
-            agree = values[x + 1 :] == values[x]
-            good = agree.sum(axis=1) >= settings.agreeing
+        for x in range(len(keys) if root.any() else 0):
+            # pairs inside one class are settled
+            good = root[x + 1 :] != root[x]
             if not same_lot:
                 good &= lot[x + 1 :] != lot[x]
-            # two texts without a class meet in every bucket they share; the first one is enough
-            first = (agree[:, pairs_of_sketches[:, 0]] & agree[:, pairs_of_sketches[:, 1]]).argmax(axis=1)
-            good &= (first == band) | ~(alone[x + 1 :] & alone[x])
             later = np.flatnonzero(good) + x + 1
+            agree = values[later] == values[x]
+            # two texts meet in every bucket they share; the first one is enough
+            first = (agree[:, pairs_of_sketches[:, 0]] & agree[:, pairs_of_sketches[:, 1]]).argmax(axis=1)
+            good = (agree.sum(axis=1) >= settings.agreeing) & (first == band)
+            later = later[good]
             later = later[may_be_alike(profiles[x], profiles[later], sizes[x], sizes[later], settings.similarity)]
             a += [min(keys[x], keys[y]) for y in later]
             b += [max(keys[x], keys[y]) for y in later]

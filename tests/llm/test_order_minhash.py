@@ -158,3 +158,40 @@ def test_ratio_of_difflib_agrees_on_near_copies():
     b[[3, 50, 77]] = 999
     assert om.edits_within(a, b, 20) == 3
     assert difflib.SequenceMatcher(None, a.tolist(), b.tolist(), autojunk=False).ratio() > 0.95
+
+
+@pytest.mark.parametrize("block", [1024, 150])
+def test_a_large_group_of_different_variants(spark, block):
+    rng = random.Random(21)
+    settings = om.Settings(block=block)
+    base = [f"w{rng.randrange(4000)}" for _ in range(300)]
+    texts = []
+    for _ in range(1000):
+        words = list(base)
+        n = rng.randrange(24, 61)  # 8 to 20 % in one block
+        start = rng.randrange(len(words) - n)
+        words[start : start + n] = [f"v{rng.randrange(9000)}" for _ in range(n)]
+        texts.append(" ".join(words))
+    values = om.sketch(pa.array(texts), settings)
+    words = Words(pa.array(texts))
+    packed = [(words.hash[a:b] >> np.uint64(32)).astype(np.uint32) for a, b in zip(words.offsets, words.offsets[1:])]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    # all candidate pairs; those already of one class change nothing
+    for i in range(len(texts)):
+        agree = values[i + 1 :] == values[i]
+        shared = np.any([agree[:, a] & agree[:, b] for a, b in om.bands(settings)], axis=0) & (agree.sum(axis=1) >= settings.agreeing)
+        for j in (np.flatnonzero(shared) + i + 1).tolist():
+            if top(i) != top(j) and om.alike(packed[i], packed[j], 0.8):
+                root[top(i)] = top(j)
+    least = {}
+    for i in range(len(texts)):
+        least[top(i)] = min(least.get(top(i), i), i)
+    got = om.membership_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), settings)
+    assert {r["doc_id"]: r["class_id"] for r in got.collect()} == {i: least[top(i)] for i in range(len(texts))}
