@@ -7,8 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbtide.llm import byte_bpe, context_tree, decontaminate, fuzzy_lines, language_kernel, license_templates, order_minhash, private_data, quality_knn, rotated_codes
-from ebbtide.llm.sampling import held_out
+from ebbtide.llm import (
+    byte_bpe,
+    context_tree,
+    decontaminate,
+    fuzzy_lines,
+    hard_negatives,
+    language_kernel,
+    license_templates,
+    merkle,
+    order_minhash,
+    piece_bpe,
+    private_data,
+    quality_knn,
+    rotated_codes,
+)
+from ebbtide.llm.oracles import HARD_NEGATIVES, MERKLE
+from ebbtide.llm.sampling import crc_mod, held_out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +80,23 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private_data.digest(private_data.find(table(spark, sf_dir, "documents"), ["doc_id"]), ["doc_id"])
 
 
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.manifest(docs, F.coalesce(crc_mod(docs["doc_id"], 3) == 0, F.lit(False)), merkle.lowered(docs["text"]))
+
+
+def piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return piece_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def hard_negative_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(hard_negatives.usable(rows, label, F.col("vec_id") % 50 == 0))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_knn": quality_classifier,
     "op2_order_minhash": near_duplicates,
@@ -76,6 +108,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_kernel": language_id,
     "op9_decontaminate": contaminated,
     "op10_fuzzy_lines": deduplicated_lines,
+    "op11_merkle_manifest": merkle_manifest,
+    "op12_piece_bpe": piece_round_trip,
+    "op13_hard_negatives": hard_negative_rows,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_merkle_manifest": MERKLE, "op13_hard_negatives": HARD_NEGATIVES}
