@@ -8,9 +8,10 @@ cover tree: centres of a level lie further apart than the level's radius, points
 of the next level hang on a centre within it, and radii shrink by a fixed
 factor. Every centre knows for each level how far what hangs on it from there on
 reaches, so the distance to the centre bounds the inner products of all of it from
-both sides. A search takes the node of the highest upper bound first, compares its
-children exactly and goes on with those of them whose bounds meet a window that isn't
-yet full of better ones. Sums are of whole numbers, so scores are exact, and
+both sides. After the root's children, which all searches compare in one product of
+matrices, a search takes the nodes of the highest upper bounds first, a few and then
+twice as many in each step, compares their children exactly and goes on with those whose
+bounds meet a window that isn't yet full of better ones. Sums are of whole numbers, so scores are exact, and
 the result is that of comparing all.
 
 First each anchor's best rows of its own label are sought, without a window; their
@@ -28,7 +29,6 @@ has an empty window.
 
 from __future__ import annotations
 
-import heapq
 import math
 from dataclasses import dataclass
 
@@ -87,15 +87,18 @@ class Tree:
         self.x = self.x.reshape(len(self.ids), -1)
         self.reach = float((self.x**2).sum(axis=1).max())
         self.most = float(np.abs(self.x).max())
+        # the root and its children of all levels
+        root = np.flatnonzero(self.point == 0)
+        self.top = int(self.end[root[-1]]) if len(root) else 1
 
     def packed(self) -> dict[str, bytes]:
         return {name: getattr(self, name).astype(kind).tobytes() for name, kind in self.ARRAYS.items()}
 
-    def products(self, begin: int, end: int, query: np.ndarray) -> np.ndarray:
-        """Exact inner products of some rows with a whole-numbered query: in doubles where no sum can leave their 53 bits."""
+    def products(self, rows: np.ndarray | slice, query: np.ndarray) -> np.ndarray:
+        """Exact inner products of some rows with a whole-numbered query, or one a column: in doubles where no sum can leave their 53 bits."""
         if self.most * float(np.abs(query).max()) * len(query) < 2**53:
-            return (self.x[begin:end] @ query).astype(np.int64)
-        return self.x[begin:end].astype(np.int64) @ query.astype(np.int64)
+            return (self.x[rows] @ query).astype(np.int64)
+        return self.x[rows].astype(np.int64) @ query.astype(np.int64)
 
     @classmethod
     def build(cls, ids: np.ndarray, x: np.ndarray, settings: Settings) -> Tree:
@@ -182,6 +185,8 @@ class Search:
             if not len(good):
                 continue
             if len(good) > self.k:
+                least = np.partition(scores[good], len(good) - self.k)[len(good) - self.k]
+                good = good[scores[good] >= least]  # equal ones too
                 good = good[np.lexsort((ids[good], -scores[good]))[: self.k]]
             best += zip((-scores[good]).tolist(), ids[good].tolist())
             best.sort()
@@ -189,9 +194,8 @@ class Search:
             if len(best) == self.k:
                 self.bar[w] = max(self.bar[w], -best[-1][0])
 
-    def descend(self, tree: Tree) -> None:
-        scores = tree.products(0, 1, self.query)
-        self.offer(tree.ids[:1], scores)
+    def descend(self, tree: Tree, top: np.ndarray) -> None:
+        """Look through a tree; ``top`` has the scores of its first ``tree.top`` rows, the root and its children."""
         whole = tree.reach + float(self.query @ self.query)
         slack = 1e-9 * whole + 1e-6
 
@@ -199,31 +203,39 @@ class Search:
             d = np.sqrt(np.maximum(whole - 2.0 * score, 0))
             return (whole - (d + radius) ** 2) / 2 - slack, (whole - np.maximum(d - radius, 0) ** 2) / 2 + slack
 
-        waiting: list[tuple[float, int, float, float]] = []  # upper bound first
-
-        def wait(groups: np.ndarray, at: np.ndarray) -> None:
-            low, high = bounds(at, tree.radius[groups])
+        self.offer(tree.ids[: tree.top], top)
+        inner = np.flatnonzero(tree.entry[: tree.top] >= 0)
+        inner = inner[inner > 0]
+        # nodes that may hold rows of use: groups, their rows' scores and bounds
+        groups, at = tree.entry[inner], top[inner]
+        waiting = (groups, at, *bounds(at, tree.radius[groups]))
+        batch = 4 * self.k
+        while len(waiting[0]):
+            groups, at, low, high = waiting
             use = ((high[:, None] >= self.bar) & (low[:, None] <= self.high)).any(axis=1)
-            for item in zip((-high[use]).tolist(), groups[use].tolist(), at[use].tolist(), low[use].tolist()):
-                heapq.heappush(waiting, item)
-
-        if tree.entry[0] >= 0:
-            wait(tree.entry[:1], scores)
-        while waiting:
-            high, g, score, low = heapq.heappop(waiting)
-            if -high < self.bar.min():
-                break
-            if not ((-high >= self.bar) & (low <= self.high)).any():
-                continue
-            a, b = tree.begin[g], tree.end[g]
-            scores = tree.products(a, b, self.query)
-            self.offer(tree.ids[a:b], scores)
-            entry = tree.entry[a:b]
-            inner = entry >= 0
-            if inner.any():
-                wait(entry[inner], scores[inner])
-            if tree.then[g] >= 0:
-                wait(tree.then[g : g + 1], np.array([score]))
+            order = np.flatnonzero(use)
+            order = order[np.argsort(-high[order], kind="stable")]
+            now, later = order[:batch], order[batch:]
+            batch *= 2
+            groups_now, at_now = groups[now], at[now]
+            size = tree.end[groups_now] - tree.begin[groups_now]
+            rows = np.repeat(tree.begin[groups_now] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            scores = tree.products(rows, self.query)
+            self.offer(tree.ids[rows], scores)
+            entry, then = tree.entry[rows], tree.then[groups_now]
+            groups_new = np.concatenate([entry[entry >= 0], then[then >= 0]])
+            at_new = np.concatenate([scores[entry >= 0], at_now[then >= 0]])
+            more = (groups_new, at_new, *bounds(at_new, tree.radius[groups_new]))
+            waiting = tuple(np.concatenate([old[later], new]) for old, new in zip(waiting, more))
+
+
+def look_through(tree: Tree, searches: list[Search]) -> None:
+    """All searches over one tree; they share one product of matrices with the tree's top."""
+    for begin in range(0, len(searches), 256):
+        own = searches[begin : begin + 256]
+        top = tree.products(slice(0, tree.top), np.stack([s.query for s in own], axis=1))
+        for n, search in enumerate(own):
+            search.descend(tree, np.ascontiguousarray(top[:, n]))
 
 
 def trees(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -256,9 +268,7 @@ def _search(asking: DataFrame, forest: DataFrame, keys: list[str], k: int, same_
             found = [Search(x[i], np.array(windows[2][i]), np.array(windows[3][i]), k, ids[i]) for i in range(len(ids))]
             for row in right.to_pylist():
                 tree = Tree(**{name: row[name] for name in Tree.ARRAYS})
-                for label, search in zip(labels, found):
-                    if (label == row["label"]) == same_label:
-                        search.descend(tree)
+                look_through(tree, [search for label, search in zip(labels, found) if (label == row["label"]) == same_label])
             for i, search in enumerate(found):
                 for p, s, best in zip(windows[0][i], windows[1][i], search.best):
                     out += [(ids[i], p, s, v, -score) for score, v in best]

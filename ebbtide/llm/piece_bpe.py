@@ -8,8 +8,9 @@ piece become bytes. If no piece holds a "▁" after another character, as is usu
 no merge reaches over such a place, so a text is cut there into chunks. Chunks
 that a worker hasn't met yet are encoded together: in each step every chunk's
 agenda gives its best pair. A chunk of many characters has a heap of its own, so
-that texts without spaces take n log n time. Decoding is the library's; the ids
-are compared with the library's on every text, batch by batch (``agrees``).
+that texts without spaces take n log n time. Decoding is the library's; ids are
+compared with the library's batch by batch (``agrees``): each chunk when a worker first
+meets it, or each text where texts don't fall apart into chunks.
 
 Cases: a null text counts as empty, and an empty one has no ids; equal rows give
 equal rows; texts of any length are encoded whole; other columns aren't read.
@@ -37,6 +38,7 @@ SPACE = "▁"
 LONG_CHUNK = 64
 #: Chunks whose ids a worker keeps; beyond it the older half goes.
 KEPT_CHUNKS = 300_000
+_MULTIPLY = np.int64(0x9E3779B97F4A7C15 - (1 << 64))
 NEVER = np.int32(np.iinfo(np.int32).max)
 
 
@@ -117,11 +119,22 @@ class Encoder(dict):
         self.v = vocabulary
         self.library = sentencepiece.SentencePieceProcessor(model_proto=vocabulary.model)
         self.head = SPACE if vocabulary.plain and vocabulary.cuts else ""
+        # where a pair stands in the sorted list, by a hash of it; slots of several pairs are marked
+        bits = max(4, int(len(vocabulary.pairs) * 8).bit_length())
+        self.shift = np.int64(63 - bits)
+        place = self.place(vocabulary.pairs)
+        self.slot = np.zeros(1 << bits, np.int32)
+        self.slot[place] = np.arange(len(place))
+        self.shared = np.bincount(place, minlength=1 << bits) > 1
+        self.wrong: set[str] = set()  # chunks that the library encodes in another way; none, as far as known
         self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall if vocabulary.cuts else lambda text: [text] if text else []
 
     def __reduce__(self):
         raise TypeError("built inside each worker")
 
+    def place(self, key: np.ndarray) -> np.ndarray:
+        return ((key * _MULTIPLY) & np.int64((1 << 63) - 1)) >> self.shift
+
     def normalise(self, text: str) -> str:
         if self.v.plain:
             return SPACE + text.replace(" ", SPACE) if text else ""
@@ -141,8 +154,13 @@ class Encoder(dict):
     def merges(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The piece that each pair makes, and its place in the order of scores; NEVER for pairs that make none."""
         key = left * self.v.symbols + right
-        at = np.minimum(np.searchsorted(self.v.pairs, key), len(self.v.pairs) - 1)
+        at = self.slot[self.place(key)]
         good = (self.v.pairs[at] == key) & (left >= 0) & (right >= 0)
+        # the few pairs whose slot belongs to another one
+        other = np.flatnonzero(~good & self.shared[self.place(key)])
+        if len(other):
+            at[other] = np.minimum(np.searchsorted(self.v.pairs, key[other]), len(self.v.pairs) - 1)
+            good[other] = (self.v.pairs[at[other]] == key[other]) & (left[other] >= 0) & (right[other] >= 0)
         return self.v.made[at], np.where(good, self.v.rank[at], NEVER)
 
     def together(self, chunks: list[str]) -> list[bytes]:
@@ -253,8 +271,17 @@ class Encoder(dict):
             self.update(zip(short, self.together(short)))
         long = [c for c in fresh if len(c) > LONG_CHUNK]
         self.update((c, self.alone(c)) for c in long)
+        if self.head:
+            asked = [c for c in fresh if c]  # a lone "▁" has nothing to merge
+            self.wrong.update(c for c, ids in zip(asked, self.library.encode(asked, num_threads=1)) if _ids(self[c]) != ids)
         return long
 
+    def agrees(self, texts: list[str], ids: list[list[int]]) -> list[bool]:
+        """Whether the library gives these ids: asked for each chunk once where texts fall apart, else for each text."""
+        if not self.head:
+            return [own == other for own, other in zip(ids, self.library.encode(texts, num_threads=1))]
+        return [not self.wrong or self.wrong.isdisjoint(self.chunks(t)) for t in texts]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [self.chunks(t) for t in texts]
         long = self.learn(list(itertools.chain.from_iterable(parts)))
@@ -325,7 +352,7 @@ def digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
         ids = [_ids(p) for p in encoder.encode(texts)]
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         out = [[len(i) for i in ids], [sha(",".join(map(str, i))) for i in ids], [sha(encoder.library.decode(i) if i else "") for i in ids]]
-        return out + [[i == j for i, j in zip(ids, encoder.library.encode(texts, num_threads=1))]] if checked else out
+        return out + [encoder.agrees(texts, ids)] if checked else out
 
     fields = [
         T.StructField("n_tokens", T.LongType()),

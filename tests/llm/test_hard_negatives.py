@@ -112,7 +112,7 @@ def test_radii_cover_and_nothing_outside_a_window_is_compared():
     seen = 0
     for q in x[:50]:
         search = hn.Search(q, np.array([-(1 << 62)]), np.array([1 << 62]), 5)
-        search.descend(tree)
+        hn.look_through(tree, [search])
         score = (tree.x @ q).astype(int)
         order = np.lexsort((tree.ids, -score))[:5]
         assert search.best[0] == [(-score[i], tree.ids[i]) for i in order]
