@@ -7,11 +7,14 @@ as edit distance does. Texts that share two neighbouring sketches are candidates
 (one alone would gather all texts that hold some common passage). Each text of a
 bucket is compared with the bucket's first one; a banded alignment of the words
 decides, which gives up once more words are edited than the similarity allows.
-Linked texts form classes. Of what a bucket holds, every two texts of different
-classes are then compared, in blocks, so nothing is left to repeat once these links are in, where a quarter of
+Linked texts form classes. In a few rounds each text then meets a few texts of
+other classes, its neighbours in a random order of its buckets, and what links
+is contracted; a large group of variants is mostly one class after that, at a few comparisons a
+text. In the last step every two texts of a bucket that still are of different
+classes are compared, in blocks, if a quarter of
 the sketches or more agree (of five-word shingles shared by 0.8, two thirds of
-the sketches are expected to) and where counts of words, dealt to 256 slots,
-don't already show too many edits.
+the sketches are expected to) and if counts of words, dealt to 256 slots,
+don't already show too many edits. So no link is lost, and nothing is left to repeat.
 
 Equal texts are combined before all this, so that a group of copies costs one
 text; the pivot of a large group is sent to as many tasks as its partners need.
@@ -29,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,7 +50,9 @@ class Settings:
     apart: tuple[int, ...] = (1, 2)  # sketches so far apart, around the circle, make a bucket together
     agreeing: int = 5  # sketches of two texts that agree, in the second step
     partners: int = 256  # texts that one task aligns with a pivot
-    block: int = 1024  # texts of a bucket that are compared at once in the second step
+    block: int = 1024  # texts of a bucket that are compared at once in the last step
+    rounds: int = 3  # of comparing a few texts of other classes, before the last step
+    few: int = 4  # texts that a text is compared with in such a round
     seed: int = 3
 
 
@@ -277,6 +282,22 @@ def _second_look(members: DataFrame, own: DataFrame, roots: DataFrame, settings:
     return met.join(own, "key").groupBy("bucket", "i", "j").applyInArrow(compare, schema).distinct()
 
 
+def _neighbours(members: DataFrame, roots: DataFrame, settings: Settings, turn: int) -> DataFrame:
+    """A few pairs of different classes for each text: it and the one before it in a random order of a bucket's texts.
+
+    The order is made anew in each turn, in lots of bounded size.
+    """
+    classed = members.select("bucket", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    sizes = classed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket", F.ceil(F.col("n") / settings.block).alias("lots"))
+    lots = classed.join(sizes, "bucket").withColumn("order", F.xxhash64("key", F.lit(turn))).withColumn("lot", F.pmod(F.xxhash64("order"), F.col("lots")))
+    ordered = Window.partitionBy("bucket", "lot").orderBy("order", "key")
+    beside = lots.select("key", "root", F.lag("key").over(ordered).alias("other"), F.lag("root").over(ordered).alias("other_root")).where(F.col("other_root") != F.col("root"))
+    pairs = beside.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+    # a text has a pair a bucket at most; the last step sees to those left out here
+    spot = F.struct(F.xxhash64("a", "b", F.lit(turn)).alias("spot"), "b")
+    return pairs.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(spot)), 1, settings.few).alias("few")).select("a", F.explode("few.b").alias("b"))
+
+
 def bands(settings: Settings) -> list[tuple[int, int]]:
     """The sketches that make a bucket together."""
     return [(i, (i + d) % settings.sketches) for d in settings.apart for i in range(settings.sketches)]
@@ -306,8 +327,18 @@ def classes(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc
     texts = stage(_word_arrays(rows, wanted), "texts")
     links = stage(verified(pairs, texts, settings), "links")
     roots = components(links, "a", "b")
+    members = inside.select("bucket", "band", "key")
+    for turn in range(settings.rounds):
+        more = stage(_neighbours(members, roots, settings, turn).join(pairs, ["a", "b"], "left_anti"), "pairs")
+        if more.isEmpty():
+            break
+        pairs = pairs.unionByName(more)
+        found_links = stage(verified(more, texts, settings), "links")
+        if not found_links.isEmpty():
+            links = links.unionByName(found_links)
+            roots = components(links, "a", "b")
     own = found.join(wanted, "key", "left_semi").dropDuplicates(["key"]).select("key", "sketches").join(_profiles(texts), "key")
-    more = _second_look(inside.select("bucket", "band", "key"), own, roots, settings).join(pairs, ["a", "b"], "left_anti")
+    more = _second_look(members, own, roots, settings).join(pairs, ["a", "b"], "left_anti")
     late = stage(verified(more, texts, settings), "links")
     if not late.isEmpty():
         roots = components(links.unionByName(late), "a", "b")
