@@ -388,6 +388,13 @@ def assign_centroid(s):
     return s.segmented().select("msno", "cluster", "distance")
 
 
+@query
+def kmeans_fixed_passes(s):
+    """Three K-Means passes from the rules' centres."""
+    found = kmeans.fixed_passes(kmeans.cluster_matrix(s.master()), rules.CENTROIDS, 3)
+    return found.select("cluster", "n_rows", F.round("cost", 4).alias("cost"), *[F.round(c, 6).alias(c) for c in found.columns[3:]])
+
+
 @query
 def name_segments(s):
     return segments.name_segments(segments.cluster_profile(s.segmented().drop("segment_label")))

@@ -49,7 +49,6 @@ QUICK = Effort(
     trials=4,
     folds=5,
     meta_rounds=5,
-    starts=2,
     value_forest={"trees": 20, "depth": 6, "min_leaf": 5},
 )
 

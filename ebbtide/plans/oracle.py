@@ -512,6 +512,18 @@ oracle("scaler_stats", ["master"], " UNION ALL ".join(
     f"SELECT '{c}' AS feature, {r(f'avg({c})', 'mean')}, {r(f'stddev_pop({c})', 'std')} FROM master WHERE split = 'train'"
     for c in (*TRANSACTION_FEATURES, *LOG_FEATURES, *MEMBER_FEATURES)))
 oracle("standardize", ["scaled"], f"SELECT msno, {', '.join(r(f'z_{c}', f'z_{c}') for c in CLUSTER_FEATURES)} FROM scaled")
+# K-Means passes from the rules' centres: the nearest centre of each row (the first of equals), then each centre at its rows' mean
+_Z = [f"z_{c}" for c in CLUSTER_FEATURES]
+cte("km0", [], "SELECT * FROM (VALUES " + ", ".join(f"({i}, {', '.join(f'{float(x)}::DOUBLE' for x in c)})" for i, c in enumerate(rules.CENTROIDS)) + ") t(cluster, " + ", ".join(f"m{i}" for i in range(len(_Z))) + ")")
+for _n in range(4):
+    cte(f"kn{_n}", ["scaled", f"km{_n}"], f"""
+SELECT msno, {', '.join(_Z)}, cluster, {' + '.join(f'({z} - m{i}) * ({z} - m{i})' for i, z in enumerate(_Z))} AS far
+FROM scaled CROSS JOIN km{_n} QUALIFY row_number() OVER (PARTITION BY msno ORDER BY far, cluster) = 1""")
+    cte(f"km{_n + 1}", [f"km{_n}", f"kn{_n}"], f"""
+SELECT k.cluster, {', '.join(f'coalesce(avg({z}), any_value(k.m{i})) AS m{i}' for i, z in enumerate(_Z))} FROM km{_n} k LEFT JOIN kn{_n} p USING (cluster) GROUP BY k.cluster""")
+oracle("kmeans_fixed_passes", ["km3", "kn3"], f"""
+SELECT k.cluster, count(p.msno) AS n_rows, round(coalesce(sum(p.far), 0), 4) AS cost, {', '.join(f'round(any_value(k.m{i}), 6) AS c{i}' for i in range(len(_Z)))}
+FROM km3 k LEFT JOIN kn3 p USING (cluster) GROUP BY k.cluster""")
 oracle("assign_centroid", ["clustered"], "SELECT msno, cluster, round(distance, 6) AS distance FROM clustered")
 oracle("name_segments", ["names"], "SELECT cluster, segment_label FROM names")
 _segprof = f"""segment_label, {', '.join(f'avg({c}) AS {c}' for c in CLUSTER_FEATURES)}, count(*) AS n_customers,

@@ -200,3 +200,66 @@ def test_kmeans_segments_find_separate_groups(spark):
     assert sweep[4]["inertia"] < sweep[2]["inertia"] and sum(r["recommended"] for r in sweep.values()) == 1
     plane, shares = segments.pca_projection(m)
     assert plane.count() == 200 and shares[0] >= shares[1] and sum(shares) <= 1 + 1e-9
+
+
+def blobs(spark, n=240, seed=8):
+    rng = np.random.default_rng(seed)
+    points = rng.standard_normal((4, 5))[rng.integers(0, 4, n)] * 3 + rng.standard_normal((n, 5))
+    points[-3:] = points[0]  # repeated rows
+    cols = ", ".join(f"{c} double" for c in segments.CLUSTER_FEATURES)
+    rows = [(i, int(i % 7 == 0), *map(float, p)) for i, p in enumerate(points)]
+    return segments.cluster_matrix(spark.createDataFrame(rows, f"msno long, is_churn int, {cols}").repartition(5))
+
+
+def scaled_rows(matrix):
+    return np.array([r["scaled"].toArray() for r in matrix.orderBy("msno").collect()])
+
+
+def plain_lloyd(points, centres, passes):
+    for _ in range(passes):
+        near = ((points[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+        new = np.array([points[near == i].mean(axis=0) if (near == i).any() else c for i, c in enumerate(centres)])
+        if (((new - centres) ** 2).sum(axis=1) <= segments.TOLERANCE**2).all():
+            return new
+        centres = new
+    return centres
+
+
+def test_all_starts_move_as_each_would_alone(spark):
+    m = blobs(spark)
+    points = scaled_rows(m)
+    first = segments.first_centres(m, (2, 3, 5), 3, 42)
+    assert first.keys() == {(k, s) for k in (2, 3, 5) for s in range(3)}
+    # also one centre so far away that no row is nearest to it
+    first["lost"] = np.vstack([points[:2], np.full((1, 5), 1e6)])
+    settled = segments.lloyd(m, first)
+    for key, centres in first.items():
+        assert np.allclose(settled[key], plain_lloyd(points, centres, segments.PASSES), atol=1e-9), key
+    assert (settled["lost"][2] == 1e6).all()
+
+
+def test_sweep_costs_and_silhouettes(spark):
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+
+    m = blobs(spark)
+    points = scaled_rows(m)
+    judge = ClusteringEvaluator(featuresCol="scaled", predictionCol="cluster", distanceMeasure="squaredEuclidean")
+    sweep = {r["k"]: r for r in segments.k_sweep(m, (2, 4, 6), starts=4).collect()}
+    fits = segments.fit_starts(m, (2, 4, 6), 4)
+    for k, (centres, rows) in fits.items():
+        cost = ((points[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1).sum()
+        assert abs(sweep[k]["inertia"] - cost) < 1e-6 * cost
+        assert sum(r["n"] for r in rows) == len(points)
+        named = segments.assigned(m, centres).withColumn("cluster", F.col("cluster").cast("double"))
+        assert abs(sweep[k]["silhouette"] - judge.evaluate(named)) < 1e-9
+        # no worse than the library's own search
+        other = KMeans(k=k, seed=1, featuresCol="scaled").fit(m).summary.trainingCost
+        assert cost <= other * 1.02
+
+
+def test_one_cluster_a_row_and_equal_rows(spark):
+    cols = ", ".join(f"{c} double" for c in segments.CLUSTER_FEATURES)
+    same = segments.cluster_matrix(spark.createDataFrame([(i, 0, 1.0, 2.0, 3.0, 4.0, 5.0) for i in range(6)], f"msno long, is_churn int, {cols}"))
+    (row,) = segments.k_sweep(same, (2,), starts=2).collect()
+    assert row["inertia"] == 0 and row["silhouette"] == 0 and row["recommended"]
