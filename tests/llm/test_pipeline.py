@@ -61,5 +61,5 @@ def test_every_stage_and_operator_is_registered():
 
     registered = entry.queries()
     assert "pipeline" in registered and set(queries.QUERIES) <= set(registered)
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_classifier", "line_dedup", "minhash_near_dedup", "benchmark_decontamination", "byte_bpe"]
