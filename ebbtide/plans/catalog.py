@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.config import STAR_SCHEMA as C
 from ebbtide.functions.columns import normalise_names, right_closed_bin
-from ebbtide.learning import classify
+from ebbtide.learning import classify, matrix, newton
 from ebbtide.learning import segments as kmeans
 from ebbtide.operators import (
     attribution,
@@ -619,6 +619,19 @@ def linear_attributions(s):
     return _linear(s)
 
 
+NEWTON_FEATURES = ("n_transactions", "cancel_rate")
+NEWTON_STEPS = 4
+
+
+@query
+def newton_logistic_steps(s):
+    """Coefficients after each of a fixed number of Newton steps on train rows, classes balanced."""
+    train = s.master().filter(F.col("split") == "train")
+    train = train.withColumn("_weight", matrix.class_weights(train))
+    fitted = newton.fit_newton(train, NEWTON_FEATURES, weight="_weight", max_steps=NEWTON_STEPS, tolerance=0.0)
+    return newton.step_table(fitted, train)
+
+
 @query
 def attribution_importance(s):
     return attribution.attribution_importance(_linear(s))

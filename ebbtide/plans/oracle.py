@@ -7,7 +7,7 @@ from ebbtide.operators.audit import AUDITED, SEGMENTS
 from ebbtide.operators.master import LOG_FEATURES, MEMBER_FEATURES, TRANSACTION_FEATURES
 from ebbtide.operators.segments import CLUSTER_FEATURES
 from ebbtide.plans import rules
-from ebbtide.plans.catalog import DIGITS
+from ebbtide.plans.catalog import DIGITS, NEWTON_FEATURES, NEWTON_STEPS
 
 _YMD = "CAST(strftime({0}, '%Y%m%d') AS INTEGER)"
 _DAY = "CAST(strptime(CAST({0} AS VARCHAR), '%Y%m%d') AS DATE)"
@@ -643,6 +643,26 @@ SELECT segment, format('{:,}', n_predicted_churners) AS predicted_churners, '$'
        format('{:,.0f}', round(roi_pct)) || '%' AS roi_pct FROM seg_roi""")
 oracle("linear_attributions", ["attributions"], """
 SELECT msno, feature, round(contribution, 6) AS contribution, round(value, 6) AS value FROM attributions""")
+_a, _b = NEWTON_FEATURES
+cte("newton_rows", ["master"], f"""
+SELECT (a - avg(a) OVER ()) / stddev_samp(a) OVER () AS u, (b - avg(b) OVER ()) / stddev_samp(b) OVER () AS v, y,
+       count(*) OVER () / (2.0 * count(*) OVER (PARTITION BY y)) AS w
+FROM (SELECT CAST({_a} AS DOUBLE) AS a, CAST({_b} AS DOUBLE) AS b, CAST(is_churn AS DOUBLE) AS y FROM master WHERE split = 'train')""")
+cte("newton0", [], "SELECT CAST(0 AS DOUBLE) AS c0, CAST(0 AS DOUBLE) AS c1, CAST(0 AS DOUBLE) AS c2")
+for _k in range(1, NEWTON_STEPS + 1):  # Cramer's rule on three unknowns; the penalty is 1, the intercept is free
+    cte(f"newton{_k}", ["newton_rows", f"newton{_k - 1}"], f"""
+SELECT c0 - (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / d AS c0,
+       c1 - (h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / d AS c1,
+       c2 - (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / d AS c2
+FROM (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS d
+      FROM (SELECT any_value(c0) AS c0, any_value(c1) AS c1, any_value(c2) AS c2,
+                   sum(w * (p - y)) AS g0, sum(w * (p - y) * u) + any_value(c1) AS g1, sum(w * (p - y) * v) + any_value(c2) AS g2,
+                   sum(q) AS h00, sum(q * u) AS h01, sum(q * v) AS h02, sum(q * u * u) + 1 AS h11, sum(q * u * v) AS h12, sum(q * v * v) + 1 AS h22
+            FROM (SELECT *, w * p * (1 - p) AS q
+                  FROM (SELECT *, 1 / (1 + exp(-(c0 + c1 * u + c2 * v))) AS p FROM newton_rows, newton{_k - 1}))))""")
+oracle("newton_logistic_steps", [f"newton{_k}" for _k in range(1, NEWTON_STEPS + 1)], " UNION ALL ".join(
+    f"SELECT {_k} AS step, '{_n}' AS feature, round({_c}, 6) AS coefficient FROM newton{_k}"
+    for _k in range(1, NEWTON_STEPS + 1) for _n, _c in zip(("intercept", _a, _b), ("c0", "c1", "c2"))))
 cte("importance", ["attributions"], "SELECT feature, avg(abs(contribution)) AS m FROM attributions GROUP BY feature")
 oracle("attribution_importance", ["importance"], """
 SELECT feature, round(m, 6) AS mean_abs_contribution,

@@ -9,7 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from ebbtide.learning import classify, explain, matrix, segments, value
+from ebbtide.learning import classify, explain, matrix, newton, segments, value
 from ebbtide.learning.classify import Spec
 
 NAMES = ["a", "b", "c", "d"]
@@ -52,6 +52,32 @@ def test_linear_classifier_is_at_the_penalised_optimum(table):
     assert np.abs(x.T @ residual + coef).max() < 0.05 and abs(residual.sum()) < 0.05
 
 
+def test_newton_fit_is_at_the_optimum_and_agrees_with_the_first_order_fit(table):
+    train = part(table, "train")
+    weighted = train.withColumn("w", matrix.class_weights(train)).withColumn("same", F.lit(3.0))
+    odd = weighted.limit(1).withColumn("a", F.lit(None).cast("double")).unionByName(weighted.limit(1).withColumn("b", F.lit(float("nan"))))
+    fitted = newton.fit_newton(weighted.unionByName(odd), [*NAMES, "same"], weight="w")
+    assert fitted.converged and len(fitted.steps) < 12 and fitted.steps[-1][5] == 0
+    assert all(later <= earlier for earlier, later in zip(fitted.loss, fitted.loss[1:]))
+    rows = np.array([[r[c] for c in (*NAMES, "is_churn", "w")] for r in weighted.collect()])
+    x = (rows[:, :4] - np.array(fitted.mean[:4])) / np.array(fitted.deviation[:4])
+    coef = np.array(fitted.steps[-1])
+    residual = rows[:, 5] * (1 / (1 + np.exp(-(x @ coef[1:5] + coef[0]))) - rows[:, 4])
+    assert np.abs(x.T @ residual + coef[1:5]).max() < 1e-6 and abs(residual.sum()) < 1e-6
+    first_order = classify.churn_scores(classify.fit_classifier(train, Spec("lr", "linear")), table, "lr")
+    both = first_order.join(table.select("msno", fitted.probability().alias("p")), "msno")
+    assert both.agg(F.max(F.abs(F.col("p") - F.col("churn_prob")))).first()[0] < 0.01
+
+
+def test_newton_steps_are_halved_where_the_loss_would_grow_and_empty_input_is_refused(spark):
+    apart = spark.createDataFrame([(float(i), float(i > 4)) for i in range(10)] + [(1e6, 1.0)], "x double, is_churn double")
+    fitted = newton.fit_newton(apart, ["x"], penalty=1e-6, max_steps=40)
+    assert all(later <= earlier * (1 + 1e-9) + 1e-12 for earlier, later in zip(fitted.loss, fitted.loss[1:]))
+    assert np.isfinite(fitted.steps[-1]).all()
+    with pytest.raises(ValueError):
+        newton.fit_newton(apart.limit(0), ["x"])
+
+
 def test_ridge_is_at_the_penalised_optimum(table):
     model = value.fit_ridge(table, 10.0)
     x = np.array([r[0] for r in model.stages[0].transform(table).select(vector_to_array("scaled")).collect()])
