@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,17 +26,23 @@ def build_session(app: str = "ebbtide", master: str | None = None, shuffle_parti
     return builder.getOrCreate()
 
 
+def in_one_process(master: str) -> bool:
+    """Whether driver and executors are one process: ``local`` or ``local[...]``, but not ``local-cluster[...]``."""
+    return re.fullmatch(r"local(\[[^\]]*\])?", master) is not None
+
+
 def staging_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder: on a cluster a
-    machine-local path would be lost with its machine.
+    Only a session in one process may fall back to a temporary folder: where
+    executors are processes of their own, even on one machine, a local path may
+    be out of their reach or lost with its machine.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named:
         return named
-    if not sc.master.startswith("local"):
+    if not in_one_process(sc.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     made = tempfile.mkdtemp(prefix="ebbtide-")
     sc.setCheckpointDir(made)

@@ -88,3 +88,10 @@ def test_no_query_pairs_all_rows(spark, name):
     text = plan(entry.queries()[name](spark, SMALL))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert "BatchEvalPython" not in text and "ArrowEvalPython" not in text
+
+
+def test_only_a_session_in_one_process_may_use_a_temporary_folder():
+    from ebbtide.session import in_one_process
+
+    assert all(in_one_process(m) for m in ("local", "local[8]", "local[*]", "local[4,2]"))
+    assert not any(in_one_process(m) for m in ("local-cluster[2,1,1024]", "spark://host:7077", "yarn", "k8s://https://host", "localhost"))
