@@ -128,12 +128,13 @@ def test_tree_attributions_are_exact_and_add_up(spark, table, kind):
     else:
         model = value.fit_forest(train, 4, 4, 2) if kind == "value forest" else value.fit_boosted(train, {"rounds": 4, "depth": 4, "rate": 0.3})
         raw = lambda: {r["msno"]: r["predicted_clv"] for r in value.predictions(model, test, "m").collect()}
-    leaves = explain.ensemble_leaves(spark, model.stages[-1])
+    leaves = explain.as_leaves(explain.leaf_table(spark, model.stages[-1]).toPandas())
     long = explain.attributions(test, model, NAMES).collect()
     sums, cells = {}, {}
     for r in long:
-        sums[r["msno"]] = sums.get(r["msno"], explain.base_value(leaves)) + r["contribution"]
+        sums[r["msno"]] = sums.get(r["msno"], r["base_value"]) + r["contribution"]
         cells[(r["msno"], r["feature"])] = r["contribution"]
+        assert r["base_value"] == pytest.approx(explain.base_of(leaves), abs=1e-9)
     assert len(long) == 4 * test.count()
     for m, want in raw().items():
         assert sums[m] == pytest.approx(want, abs=1e-6)
@@ -145,7 +146,49 @@ def test_tree_attributions_are_exact_and_add_up(spark, table, kind):
 def test_single_leaf_and_repeated_features():
     x = np.array([[0.0, 5.0]])
     only = explain.Leaf(np.array([], int), np.array([]), np.array([]), np.array([]), 3.0)
-    assert explain.base_value([only]) == 3.0 and not explain.leaf_contributions(x, [only]).any()
+    assert explain.base_of([only]) == 3.0 and not explain.leaf_contributions(x, [only]).any()
+
+
+def test_patterns_of_many_columns():
+    rng = np.random.default_rng(2)
+    passes = (rng.random((50, 70)) < 0.5)[rng.integers(0, 50, 300)]
+    first, which = explain.patterns(passes)
+    assert len(first) == len(np.unique(passes, axis=0)) and (passes[first][which] == passes).all()
+
+
+def test_attributions_do_not_depend_on_blocks_and_spans(spark, table):
+    model = classify.fit_classifier(part(table, "train"), Spec("f", "forest", {"trees": 9, "depth": None, "min_leaf": 1}))
+    leaves = explain.leaf_table(spark, model.stages[-1])
+    # a repeated row, a missing value, a key that is missing, and columns named like those used inside
+    test = part(table, "test").withColumn("_row", F.lit(7)).withColumn("feature", F.lit("f"))
+    odd = test.limit(1).withColumn("a", F.lit(None).cast("double"))
+    test = test.unionByName(test.limit(2)).unionByName(odd).unionByName(odd.withColumn("msno", F.lit(None).cast("long")))
+    dealt, spans = explain.in_spans(leaves, 50)
+    sizes = {r["span"]: r["count"] for r in dealt.groupBy("span").count().collect()}
+    assert spans > 5 and set(sizes) == set(range(spans)) and max(sizes.values()) <= 50 and sum(sizes.values()) == leaves.count()
+
+    def cells(**sized):
+        rows = explain.tree_attributions(test, leaves, NAMES, **sized).collect()
+        return sorted((str(r["msno"]), r["feature"], round(r["contribution"], 9), str(r["value"]), round(r["base_value"], 9)) for r in rows)
+
+    one = cells()
+    assert len(one) == 4 * test.count() and one == cells(leaves_per_span=50, rows_per_block=30)
+    assert explain.tree_attributions(test.limit(0), leaves, NAMES).collect() == []
+
+
+def test_attributions_of_many_deep_trees(spark, table):
+    model = classify.fit_classifier(part(table, "train"), Spec("g", "boosted", {"rounds": 60, "depth": 6, "rate": 0.1}))
+    test = part(table, "test")
+    long = explain.attributions(test, model, NAMES).groupBy("msno").agg((F.sum("contribution") + F.first("base_value")).alias("raw"))
+    both = classify.churn_scores(model, test, "m").join(long, "msno")
+    assert both.count() == 100
+    assert both.agg(F.max(F.abs(F.col("raw") - F.log(F.col("churn_prob") / (1 - F.col("churn_prob")))))).first()[0] < 1e-6
+
+
+def test_attribution_plan_holds_no_nodes_and_no_cross_join(spark, table):
+    model = boosted(table)
+    plan = explain.attributions(part(table, "test"), model, NAMES)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
 def test_linear_model_attributions_add_up(table):
@@ -156,6 +199,11 @@ def test_linear_model_attributions_add_up(table):
     for r in classify.churn_scores(model, train, "m").limit(20).collect():
         logit = math.log(r["churn_prob"] / (1 - r["churn_prob"]))
         assert got[r["msno"]] + model.stages[-1].intercept == pytest.approx(logit, abs=1e-6)
+    # explained against other rows, the base value is the score at their means
+    other = explain.attributions(train, model, NAMES, part(table, "val"))
+    raw = {r["msno"]: r["s"] for r in other.groupBy("msno").agg((F.sum("contribution") + F.first("base_value")).alias("s")).collect()}
+    for r in classify.churn_scores(model, train, "m").limit(20).collect():
+        assert raw[r["msno"]] == pytest.approx(math.log(r["churn_prob"] / (1 - r["churn_prob"])), abs=1e-6)
 
 
 def test_out_of_fold_scores_cover_each_train_row_once(table):
