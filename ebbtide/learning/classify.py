@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import time
+import zlib
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -18,12 +19,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ebbtide.learning.explain import tree_nodes
 from ebbtide.learning.matrix import class_weights, column_strategy, side_by_side, tree_depth
 from ebbtide.operators.metrics import classification_metrics, roc_auc
 from ebbtide.operators.ordering import hash_rank
+from ebbtide.session import stage, staging_dir
 
 SEED = 42
 
+# Fixed value: rounds without a better AUC after which boosting stops.
+PATIENCE = 30
+# A finished trial in a search's ledger; the format is part of the folder's name.
+CURVE = "model string, params string, round int, auc double"
+LEDGER_FORMAT = 1
+
 # The forest grid; None stands for unlimited depth.
 FOREST_GRID = {"trees": (100, 300), "depth": (5, 10, None), "min_leaf": (1, 5, 20)}
 DEEPEST = 30
@@ -80,7 +89,6 @@ def _estimators(spec: Spec, rows: int, features: str) -> list:
                 **common,
             )
         ]
-    extra = {"validationIndicatorCol": p["stop_on"]} if "stop_on" in p else {}
     return [
         GBTClassifier(
             featuresCol=features,
@@ -91,7 +99,6 @@ def _estimators(spec: Spec, rows: int, features: str) -> list:
             featureSubsetStrategy=column_strategy(p),
             minInstancesPerNode=p.get("min_leaf", 1),
             seed=SEED,
-            **extra,
             **common,
         )
     ]
@@ -104,12 +111,58 @@ def fit_classifier(train: DataFrame, spec: Spec, features: str = "features") ->
     return Pipeline(stages=_estimators(spec, rows, features)).fit(weighted)
 
 
-def fit_with_early_stop(train: DataFrame, val: DataFrame, spec: Spec) -> PipelineModel:
-    """Boosting that stops once the validation rows no longer improve."""
-    both = train.withColumn("_held_out", F.lit(False)).unionByName(val.withColumn("_held_out", F.lit(True)))
-    weighted = both.withColumn("_weight", class_weights(train))
-    stopped = Spec(spec.name, spec.kind, {**spec.params, "stop_on": "_held_out"}, spec.balanced)
-    return Pipeline(stages=_estimators(stopped, 0, "features")).fit(weighted)
+def staged_scores(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """(is_churn, round, churn_prob): the score of every row after each round of a boosted model.
+
+    Spark names the leaf of every tree a row falls into; leaf outputs are joined
+    and summed along the rounds. Rows are dealt out before they are unfolded to
+    rounds, so the running sum needs no shuffle of the unfolded rows. Scores
+    carry 12 decimals: leaves of equal output differ in their last digits, and
+    these would otherwise rank rows that the model holds equal.
+    """
+    learner = model.stages[-1].copy().setLeafCol("_leaf")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in learner.treeWeights]), F.col("tree") + 1)
+    # leaves are counted from left to right, which is the order of node ids
+    place = F.row_number().over(W.partitionBy("tree").orderBy("node")) - 1
+    outputs = stage(
+        tree_nodes(df.sparkSession, learner).filter("left < 0").select("tree", place.alias("leaf"), (F.col("prediction") * weight).alias("output")),
+        "leaf-outputs",
+    )
+    fallen = learner.transform(df).select(
+        F.monotonically_increasing_id().alias("_row"),
+        F.col("is_churn").cast("int").alias("is_churn"),
+        F.transform(vector_to_array("_leaf"), lambda x: x.cast("int")).alias("_leaves"),
+    )
+    unfolded = stage(fallen, "fallen").repartition("_row").select("_row", "is_churn", F.posexplode("_leaves").alias("tree", "leaf"))
+    along = W.partitionBy("_row").orderBy("tree").rowsBetween(W.unboundedPreceding, 0)
+    # a boosted model's raw score is half the log-odds
+    score = 1 - 1 / (1 + F.exp(2 * F.sum("output").over(along)))
+    return unfolded.join(outputs, ["tree", "leaf"]).select(
+        "is_churn", (F.col("tree") + 1).alias("round"), F.round(score, 12).alias("churn_prob")
+    )
+
+
+def staged_aucs(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """(round, auc) after each round of a boosted model, in one pass over the rows."""
+    return roc_auc(staged_scores(model, df), "is_churn", "churn_prob", ["round"])
+
+
+def stopped_rounds(curves: DataFrame, by: Sequence[str], patience: int = PATIENCE) -> DataFrame:
+    """(by, auc, stopped_round): the best round before ``patience`` rounds in a row bring nothing better.
+
+    Where no AUC is known (one class only) nothing stops and every round is kept.
+    """
+    order = W.partitionBy(*by).orderBy("round")
+    so_far, earlier = order.rowsBetween(W.unboundedPreceding, 0), order.rowsBetween(W.unboundedPreceding, -1)
+    best = F.max("auc").over(earlier)
+    judged = curves.withColumn("_better", F.col("auc").isNotNull() & (best.isNull() | (F.col("auc") > best)))
+    judged = judged.withColumn("_since", F.col("round") - F.max(F.when(F.col("_better"), F.col("round"))).over(so_far))
+    reached = F.coalesce(F.max(F.coalesce(F.col("_since"), F.lit(0))).over(earlier), F.lit(0)) < patience
+    judged = judged.withColumn("_reached", reached)
+    return judged.groupBy(*by).agg(
+        F.max(F.when(F.col("_reached"), F.col("auc"))).alias("auc"),
+        F.coalesce(F.max(F.when(F.col("_reached") & F.col("_better"), F.col("round"))), F.max("round")).alias("stopped_round"),
+    )
 
 
 def churn_scores(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
@@ -129,11 +182,11 @@ def evaluate(scored: DataFrame, by: Sequence[str] = ("model",), threshold: float
     return auc.join(classification_metrics(scored, "is_churn", "churn_prob", threshold, by), list(by))
 
 
-def _aucs(models: Sequence[PipelineModel], df: DataFrame) -> list[float]:
-    """AUC of each model on the same rows, in one job over all their scores."""
-    scored = reduce(lambda a, b: a.unionByName(b), [churn_scores(m, df, str(i)) for i, m in enumerate(models)])
+def _aucs(scores: Sequence[DataFrame]) -> list[float]:
+    """AUC of each model on the same rows, in one job over all their scores; models are named 0, 1, ..."""
+    scored = reduce(lambda a, b: a.unionByName(b), scores)
     found = {r["model"]: r["auc"] for r in roc_auc(scored, "is_churn", "churn_prob", ["model"]).collect()}
-    return [float("nan") if found.get(str(i)) is None else found[str(i)] for i in range(len(models))]
+    return [float("nan") if found.get(str(i)) is None else found[str(i)] for i in range(len(scores))]
 
 
 def coefficient_table(spark: SparkSession, model: PipelineModel, names: Sequence[str]) -> DataFrame:
@@ -162,7 +215,11 @@ def forest_grid(train: DataFrame, val: DataFrame, grid: Mapping[str, Sequence] =
     """AUC on the fixed validation split for every grid point, and the best point."""
     points = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
 
-    aucs = _aucs(side_by_side([lambda p=p: fit_classifier(train, Spec("forest", "forest", p)) for p in points]), val)
+    def scored(i: int, p: dict) -> DataFrame:
+        # written at once, so that no forest is kept once it has been scored
+        return stage(churn_scores(fit_classifier(train, Spec("forest", "forest", p)), val, str(i)), "grid-scores")
+
+    aucs = _aucs(side_by_side([lambda i=i, p=p: scored(i, p) for i, p in enumerate(points)]))
     rows = [(i, p["trees"], p["depth"] or DEEPEST, p["min_leaf"], a) for i, (p, a) in enumerate(zip(points, aucs))]
     table = train.sparkSession.createDataFrame(rows, "point int, trees int, depth int, min_leaf int, auc double")
     best = max(range(len(points)), key=lambda i: (aucs[i], -i))
@@ -182,22 +239,68 @@ def draw(ranges: Mapping[str, Sequence], rng: random.Random) -> dict:
     return point
 
 
+def fingerprint(*tables: DataFrame) -> str:
+    """Tells matrices with other rows, labels or features apart, in whatever order rows come."""
+    row = F.xxhash64("msno", "is_churn", "features")
+    sums = [t.agg(F.count(F.lit(1)), F.sum(F.pmod(row, F.lit(2**31))), F.bit_xor(row)).first() for t in tables]
+    return f"{zlib.crc32(repr([tuple(r) for r in sums]).encode()):08x}"
+
+
+def search_ledger(train: DataFrame, val: DataFrame, ranges: Mapping[str, Sequence], seed: int, name: str) -> str:
+    """The folder of a search's finished trials: one for the same rows, ranges, seed and name."""
+    search = f"{LEDGER_FORMAT} {name} {seed} {sorted(ranges.items())} {fingerprint(train, val)}"
+    return f"{staging_dir(train.sparkSession).rstrip('/')}/ebbtide/search-{zlib.crc32(search.encode()):08x}"
+
+
 def tune(
-    train: DataFrame, val: DataFrame, ranges: Mapping[str, Sequence], trials: int = 50, seed: int = SEED, name: str = "boosted"
+    train: DataFrame,
+    val: DataFrame,
+    ranges: Mapping[str, Sequence],
+    trials: int = 50,
+    seed: int = SEED,
+    name: str = "boosted",
+    ledger: str | None = None,
+    patience: int = PATIENCE,
 ) -> tuple[DataFrame, Spec]:
     """Seeded random search scored by AUC on the fixed validation split.
 
-    Returns the trials with the best AUC so far, and the best point.
+    A trial is fitted once with its most rounds on train alone; its AUC after every
+    round tells where it stops. That curve is written to the ``ledger`` (a shared
+    folder; default: one that belongs to these rows and ranges) and the model is
+    let go. A search that broke off goes on with the trials that have no curve
+    there; more trials can be added to a finished one.
+
+    Returns the trials with their stopped round and the best AUC so far, and the
+    best point with the stopped round as its ``rounds`` (``most_rounds``: as drawn).
     """
+    spark = train.sparkSession
+    ledger = ledger or search_ledger(train, val, ranges, seed, name)
     rng = random.Random(seed)
     points = [draw(ranges, rng) for _ in range(trials)]
-
-    aucs = _aucs(side_by_side([lambda p=p: fit_with_early_stop(train, val, Spec(name, "boosted", p)) for p in points]), val)
-    rows = [(i, name, str(sorted(p.items())), a) for i, (p, a) in enumerate(zip(points, aucs))]
-    table = train.sparkSession.createDataFrame(rows, "trial int, model string, params string, auc double")
+    described = [str(sorted(p.items())) for p in points]
+
+    def curves() -> DataFrame:
+        return spark.read.schema(f"{CURVE}, trial int").parquet(ledger)
+
+    def run(i: int) -> None:
+        model = fit_classifier(train, Spec(name, "boosted", points[i]))
+        curve = staged_aucs(model, val).select(F.lit(name).alias("model"), F.lit(described[i]).alias("params"), "round", "auc")
+        # one file, so a trial is there as a whole or not at all
+        curve.coalesce(1).write.mode("overwrite").parquet(f"{ledger}/trial={i}")
+
+    spark.createDataFrame([], f"{CURVE}, trial int").write.mode("ignore").partitionBy("trial").parquet(ledger)
+    done = {(r["trial"], r["params"]) for r in curves().select("trial", "params").distinct().collect()}
+    missing = [i for i in range(trials) if (i, described[i]) not in done]
+    if missing:
+        side_by_side([lambda i=i: run(i) for i in missing])
+    kept = curves().filter(F.col("trial") < trials)
     so_far = W.partitionBy("model").orderBy("trial").rowsBetween(W.unboundedPreceding, 0)
-    best = max(range(trials), key=lambda i: (aucs[i], -i))
-    return table.withColumn("best_so_far", F.max("auc").over(so_far)), Spec(name, "boosted", points[best])
+    table = stage(
+        stopped_rounds(kept, ["trial", "model", "params"], patience).withColumn("best_so_far", F.max("auc").over(so_far)), "trials"
+    )
+    best = table.orderBy(F.col("auc").desc_nulls_last(), "trial").first()
+    point = points[best["trial"]]
+    return table, Spec(name, "boosted", {**point, "rounds": best["stopped_round"], "most_rounds": point["rounds"]})
 
 
 def two_step(train: DataFrame, val: DataFrame, test: DataFrame, spec: Spec) -> tuple[DataFrame, PipelineModel, PipelineModel, float]:
@@ -252,7 +355,7 @@ def fit_meta(oof_meta: DataFrame, val_meta: DataFrame, boosted_rounds: int = 100
     models = side_by_side(
         [lambda: Pipeline(stages=[linear]).fit(oof_meta), lambda: fit_classifier(oof_meta, boosted)]
     )
-    aucs = _aucs(models, val_meta)
+    aucs = _aucs([churn_scores(m, val_meta, str(i)) for i, m in enumerate(models)])
     table = oof_meta.sparkSession.createDataFrame(
         [("linear", aucs[0]), ("boosted", aucs[1])], "meta_learner string, auc double"
     )

@@ -216,7 +216,9 @@ class Modelling:
     def value_models(self) -> dict[str, PipelineModel]:
         def build() -> dict[str, PipelineModel]:
             train = self.value_rows("train")
-            boosted = [dict(self.tuned(n)[1].params) for n in (BOOSTED, LEAFWISE)]
+            # the stopped round belongs to the classifier; a regressor takes the rounds as drawn
+            points = [self.tuned(n)[1].params for n in (BOOSTED, LEAFWISE)]
+            boosted = [{**p, "rounds": p["most_rounds"]} for p in points]
             fits = matrix.side_by_side(
                 [
                     lambda: value.fit_forest(train, **self.effort.value_forest),

@@ -232,10 +232,76 @@ def test_grid_and_search_return_their_best_point(table):
     trials, best = classify.tune(train, val, ranges, trials=3)
     seen = trials.orderBy("trial").collect()
     assert [r["best_so_far"] for r in seen] == list(np.maximum.accumulate([r["auc"] for r in seen]))
-    assert 0.01 <= best.params["rate"] <= 0.3 and 2 <= best.params["rounds"] <= 4
+    top = max(seen, key=lambda r: (r["auc"], -r["trial"]))
+    assert best.params["rounds"] == top["stopped_round"] and 1 <= top["stopped_round"] <= best.params["most_rounds"] <= 4
+    assert 0.01 <= best.params["rate"] <= 0.3 and 2 <= best.params["most_rounds"]
     assert seen[-1]["best_so_far"] > 0.65
 
 
+def test_staged_aucs_equal_those_of_shorter_fits(table):
+    train, val = part(table, "train"), part(table, "val")
+    p = {"rounds": 12, "depth": 4, "rate": 0.2, "row_share": 0.8, "column_share": 0.7}
+    curve = {r["round"]: r["auc"] for r in classify.staged_aucs(classify.fit_classifier(train, Spec("g", "boosted", p)), val).collect()}
+    assert sorted(curve) == list(range(1, 13))
+    for rounds in (1, 7, 12):
+        short = classify.fit_classifier(train, Spec("g", "boosted", {**p, "rounds": rounds}))
+        scores = classify.churn_scores(short, val, "g").withColumn("churn_prob", F.round("churn_prob", 12))
+        assert curve[rounds] == pytest.approx(classify.evaluate(scores).first()["auc"], abs=1e-9)
+
+
+def stop_plainly(aucs, patience):
+    best, at = None, None
+    for i, a in enumerate(aucs, 1):
+        if a is not None and (best is None or a > best):
+            best, at = a, i
+        elif at is not None and i - at >= patience:
+            break
+    return best, len(aucs) if at is None else at
+
+
+def test_stopping_equals_going_round_by_round(spark):
+    rng = np.random.default_rng(5)
+    curves = [list(map(float, rng.integers(0, 40, n) / 40 + np.linspace(0, 0.5, n))) for n in (1, 5, 30, 80, 200)]
+    curves += [[0.5] * 20, [None] * 6, [None, 0.6, None, 0.5, 0.7], [0.9, *[0.1] * 9, 0.95]]
+    rows = [(i, r, a) for i, c in enumerate(curves) for r, a in enumerate(c, 1)]
+    df = spark.createDataFrame(rows, "trial int, round int, auc double").repartition(4)
+    for patience in (1, 3, 10, 1000):
+        got = {r["trial"]: (r["auc"], r["stopped_round"]) for r in classify.stopped_rounds(df, ["trial"], patience).collect()}
+        assert got == {i: stop_plainly(c, patience) for i, c in enumerate(curves)}
+
+
+def test_a_search_goes_on_where_it_broke_off(table, tmp_path, monkeypatch):
+    train, val = part(table, "train"), part(table, "val")
+    ranges = {**classify.BOOST_RANGES, "rounds": (2, 3), "depth": (2, 3)}
+    fit, fitted = classify.fit_classifier, []
+
+    def counted(rows, spec, *rest):
+        fitted.append(spec.params)
+        if len(fitted) == 3:
+            raise RuntimeError("lost")
+        return fit(rows, spec, *rest)
+
+    monkeypatch.setattr(classify, "fit_classifier", counted)
+    monkeypatch.setattr(classify, "side_by_side", lambda jobs: [j() for j in jobs])
+    ledger = str(tmp_path / "ledger")
+    with pytest.raises(RuntimeError):
+        classify.tune(train, val, ranges, trials=4, ledger=ledger)
+    found, best = classify.tune(train, val, ranges, trials=4, ledger=ledger)
+    assert len(fitted) == 3 + 2 and found.count() == 4
+    # a finished search fits nothing, and gives the same as one that never broke off
+    again, same = classify.tune(train, val, ranges, trials=4, ledger=ledger)
+    assert len(fitted) == 5 and best == same and again.exceptAll(found).count() == 0
+    whole, other = classify.tune(train, val, ranges, trials=4, ledger=str(tmp_path / "whole"))
+    assert len(fitted) == 9 and best == other and whole.exceptAll(found).count() == 0
+    # other rows, ranges or seeds are other searches
+    names = {
+        classify.search_ledger(train, val, ranges, 1, "a"), classify.search_ledger(train, val, ranges, 2, "a"),
+        classify.search_ledger(val, train, ranges, 1, "a"), classify.search_ledger(train, val.limit(5), ranges, 1, "a"),
+        classify.search_ledger(train, val, classify.BOOST_RANGES, 1, "a"), classify.search_ledger(train.repartition(7), val, ranges, 1, "a"),
+    }
+    assert len(names) == 5
+
+
 def test_two_step_scores_val_and_test_and_models_persist(table, tmp_path):
     scores, first, _, seconds = classify.two_step(
         part(table, "train"), part(table, "val"), part(table, "test"), Spec("g", "boosted", {"rounds": 3, "depth": 3, "rate": 0.3})
