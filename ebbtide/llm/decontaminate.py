@@ -1,19 +1,22 @@
-"""Documents that contain benchmark items, found by their shared shingles.
+"""Documents that contain benchmark items, found by SimHashes of item-sized windows.
 
 Items and windows are compared by their five-word shingles, counted as often as
 they occur: the sum of the smaller counts over the sum of the larger. A window
 has as many words as the item; a text that is shorter is one window. Of all
 windows of a text the best one begins with a shingle of the item or ends with
 the text, so these are looked at, and those that put a shared shingle in its
-place in the item. A window is verified if it has enough places whose shingle
-the item has too; no window that reaches the similarity has fewer.
+place in the item; a window with too few shared places to reach the similarity
+is left out. The candidates of a window are the items whose SimHash is within
+the radius of its own, of which blocks of bits find all; the exact similarity
+verifies them. ``exact`` takes every item that shares enough places with the
+window instead, and so finds what trying all windows finds.
 
 The benchmark is read in groups of items of bounded size, each broadcast by
 itself, so that its size doesn't matter.
 
 Cases: words are lower-cased runs of letters and digits; an item of 1 to 4
 words is one shingle of them all, and one without words or text is never found;
-a null or empty text holds none; every row is judged by itself, so repeated
+ids of items may have any type; a null or empty text holds none; every row is judged by itself, so repeated
 rows get equal results; of equally good windows the first one looked at counts.
 """
 
@@ -29,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ebbtide.llm.batches import Words, filter_text, mix, pieces, shingles
 
@@ -37,7 +41,8 @@ from ebbtide.llm.batches import Words, filter_text, mix, pieces, shingles
 class Settings:
     shingle: int = 5
     similarity: float = 0.8
-    radius: int = 19  # of Index.within; windows are verified whatever their fingerprint
+    radius: int = 19  # of 64 bits; at the similarity windows differ from items in ten bits on average
+    exact: bool = False  # verify windows whatever their fingerprint
     items_at_once: int = 20_000
     bytes_at_once: int = 32 << 20  # of item texts in a broadcast; a longer item goes alone
 
@@ -60,7 +65,7 @@ def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
 class Index:
     """Items by their shingles, and their fingerprints by blocks of bits."""
 
-    def __init__(self, item_ids: list[int], texts: list[str], settings: Settings):
+    def __init__(self, item_ids: list, texts: list[str], settings: Settings):
         self.settings = settings
         words = Words(pa.array(texts, pa.string()))
         h, offsets, _ = shingles(words, settings.shingle)
@@ -107,10 +112,11 @@ class Index:
         found = np.unique(np.concatenate(near))
         return found[np.bitwise_count(self.prints[found] ^ print_) <= self.settings.radius]
 
-    def search(self, column: pa.Array) -> list[tuple[int, int, int, int, float]]:
+    def search(self, column: pa.Array) -> list[tuple]:
         """(row, item, first word, words, similarity): each item's best window in each text, the first of equals."""
         words = Words(column)
         found: dict[tuple[int, int], tuple[float, int, int]] = {}
+        near: dict[tuple[int, int, int], np.ndarray] = {}
         for k, (known, items, offsets) in self.tables.items():
             h, bounds, first = shingles(words, k)
             if not len(h):
@@ -146,6 +152,12 @@ class Index:
                     continue
                 s = int(starts[x] - pair[at[x]])
                 begin = bounds[r] + s
+                window = (r, s, int(n[x]))
+                if not self.settings.exact:
+                    if window not in near:
+                        near[window] = self.within(fingerprint(h[begin : begin + size[x]]))
+                    if i not in near[window]:
+                        continue
                 score = weighted_similarity(h[begin : begin + size[x]], self.shingles[i])
                 if score >= self.settings.similarity and (score > best or score == best and s < where):
                     found[r, i] = (score, s, int(n[x]))
@@ -154,7 +166,7 @@ class Index:
 
 def _groups(benchmark: DataFrame, item_id: str, text: str, settings: Settings):
     """The benchmark's items in groups of bounded size."""
-    items = benchmark.select(benchmark[item_id].cast("long").alias("item_id"), benchmark[text].alias("text")).where(F.col("text").isNotNull())
+    items = benchmark.select(benchmark[item_id].alias("item_id"), benchmark[text].alias("text")).where(F.col("text").isNotNull())
     count, size = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     parts = max(1, math.ceil(count / settings.items_at_once), math.ceil(size / settings.bytes_at_once))
     for part in range(parts):
@@ -165,7 +177,7 @@ def _groups(benchmark: DataFrame, item_id: str, text: str, settings: Settings):
 _indexes: dict = {}
 
 
-def _setup(docs: DataFrame, items: list[tuple[int, str]], settings: Settings):
+def _setup(docs: DataFrame, items: list[tuple], settings: Settings):
     """A function that gives a worker the index of some items, built once."""
     name = uuid.uuid4().hex
     shared = docs.sparkSession.sparkContext.broadcast(items)
@@ -185,12 +197,13 @@ def find(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(),
     schema = T.StructType(
         [
             T.StructField("doc_id", docs.schema[doc_id].dataType),
-            T.StructField("item_id", T.LongType()),
+            T.StructField("item_id", benchmark.schema[item_id].dataType),
             T.StructField("first_word", T.LongType()),
             T.StructField("n_words", T.LongType()),
             T.StructField("similarity", T.DoubleType()),
         ]
     )
+    ids = to_arrow_type(schema["item_id"].dataType)
     out = None
     for group in _groups(benchmark, item_id, "text", settings):
 
@@ -201,7 +214,7 @@ def find(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(),
                     got = index.search(piece.column("text"))
                     if got:
                         row, item, start, n, score = zip(*got)
-                        yield pa.RecordBatch.from_arrays([piece.column("doc_id").take(pa.array(row)), pa.array(item, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(score)], names=schema.names)
+                        yield pa.RecordBatch.from_arrays([piece.column("doc_id").take(pa.array(row)), pa.array(item, ids), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(score)], names=schema.names)
 
         found = taken.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
