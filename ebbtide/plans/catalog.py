@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ebbtide.config import STAR_SCHEMA as C
@@ -776,7 +777,7 @@ def final_model(m):
 
 @model_query
 def ridge_alpha_sweep(m):
-    return m.ridge()[0]
+    return m.ridge()[0].withColumn("position", F.row_number().over(W.orderBy("rmse", "alpha")))
 
 
 @model_query
@@ -787,7 +788,8 @@ def ridge_coefficients(m):
 
 @model_query
 def clv_model_comparison(m):
-    return m.value_comparison()
+    best_first = W.partitionBy("split").orderBy("rmse", "model")
+    return m.value_comparison().withColumn("position", F.row_number().over(best_first))
 
 
 @model_query
