@@ -9,7 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from ebbtide.learning import classify, explain, matrix, newton, segments, value
+from ebbtide.learning import classify, explain, forest, matrix, newton, segments, value
 from ebbtide.learning.classify import Spec
 
 NAMES = ["a", "b", "c", "d"]
@@ -403,3 +403,43 @@ def test_one_cluster_a_row_and_equal_rows(spark):
     same = segments.cluster_matrix(spark.createDataFrame([(i, 0, 1.0, 2.0, 3.0, 4.0, 5.0) for i in range(6)], f"msno long, is_churn int, {cols}"))
     (row,) = segments.k_sweep(same, (2,), starts=2).collect()
     assert row["inertia"] == 0 and row["silhouette"] == 0 and row["recommended"]
+
+
+def test_grown_forest_splits_like_a_direct_search_and_does_not_depend_on_parts(spark, table):
+    train, test = part(table, "train"), part(table, "test")
+    found = {}
+    for size in (10, 60, 10_000):
+        made = forest.grow(train, [(0, 1), (1, 5), (2, 1)], "features", matrix.balance(train), 42, True, size)
+        scores = forest.GrownForest(made, [0, 1, 2]).scored(test, ["msno"]).collect()
+        found[size] = (sorted((r["msno"], r["probability"]) for r in scores), made)
+    assert found[10][0] == found[60][0] == found[10_000][0] and len(found[10][0]) == test.count()
+    # several parts a tree where they are small, and no part above its size
+    nodes = found[10][1]["nodes"]
+    roots = nodes.filter("node = 0 and left >= 0")
+    assert roots.count() > 10 and roots.agg(F.max(F.col("n0") + F.col("n1"))).first()[0] <= 10
+    # every leaf keeps its least rows, siblings of one prediction are joined, and all rows drawn are in some leaf
+    leaves = found[60][1]["nodes"].filter("left < 0").groupBy("tree").agg(F.min(F.col("n0") + F.col("n1")).alias("least"), F.sum(F.col("n0") + F.col("n1")).alias("rows")).collect()
+    ids = np.array([r[0] for r in train.select(F.xxhash64("msno")).collect()])
+    for r in leaves:
+        assert r["least"] >= (5 if r["tree"] == 1 else 1)
+        assert r["rows"] == forest.drawn(ids, forest.tree_hash(42, r["tree"])).sum()
+    best = forest.best_bins(np.array([[3.0, 0, 2] + [0] * 29]), np.array([[0.0, 4, 1] + [0] * 29]), np.array([2]), (1.0, 1.0), 1)
+    assert best[0][0] == 0 and best[1][0] == pytest.approx(0.5 - 0.7 * (1 - (2 / 7) ** 2 - (5 / 7) ** 2))
+
+
+def test_unlimited_forest_is_never_held_by_the_driver_and_the_smaller_one_is_its_first_trees(spark, table):
+    train, val = part(table, "train"), part(table, "val")
+    three, nine = classify.grown_forests(train, [Spec("f", "forest", {"trees": n, "depth": None, "min_leaf": 1}) for n in (3, 9)])
+    assert three.trees == nine.trees[:3] and three.grown is nine.grown
+    alone = classify.fit_classifier(train, Spec("f", "forest", {"trees": 3, "depth": None, "min_leaf": 1}))
+    assert isinstance(alone, forest.GrownForest) and isinstance(alone.nodes(), type(train))
+    scores = lambda m: sorted(r["churn_prob"] for r in classify.churn_scores(m, val, "m").collect())
+    assert scores(alone) == scores(three)
+    # as good as Spark's own, and explained exactly
+    own = classify.evaluate(classify.churn_scores(nine, val, "m")).first()["auc"]
+    other = classify.fit_classifier(train, Spec("f", "forest", {"trees": 9, "depth": 29, "min_leaf": 1}))
+    assert own > classify.evaluate(classify.churn_scores(other, val, "m")).first()["auc"] - 0.08
+    assert nine.featureImportances.toArray().sum() == pytest.approx(1.0) and nine.featureImportances.toArray()[0] > 0.2
+    long = explain.attributions(val, nine, NAMES).groupBy("msno").agg((F.sum("contribution") + F.first("base_value")).alias("raw"))
+    both = classify.churn_scores(nine, val, "m").join(long, "msno")
+    assert both.count() == val.count() and both.agg(F.max(F.abs(F.col("raw") - F.col("churn_prob")))).first()[0] < 1e-9
