@@ -11,7 +11,7 @@ value only gets no weight.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,12 +31,13 @@ class Fitted:
     loss: tuple[float, ...]  # before each step
     converged: bool
 
-    def probability(self) -> Column:
-        """Score as a plain expression of the features."""
+    def probability(self, columns: Mapping[str, Column] | None = None) -> Column:
+        """Score as a plain expression of the features; ``columns`` tells where these are, if not under their names."""
         z = F.lit(self.steps[-1][0])
         for name, m, d, b in zip(self.names, self.mean, self.deviation, self.steps[-1][1:]):
             if d > 0:
-                z = z + F.lit(b) * (F.col(name).cast("double") - F.lit(m)) / F.lit(d)
+                own = F.col(name) if columns is None else columns[name]
+                z = z + F.lit(b) * (own.cast("double") - F.lit(m)) / F.lit(d)
         return 1.0 / (1.0 + F.exp(-z))
 
 

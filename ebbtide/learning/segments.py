@@ -58,6 +58,11 @@ def _squared(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((points[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
 
 
+def points(matrix: DataFrame) -> DataFrame:
+    """The rows' coordinates as plain numbers; ``matrix`` itself, where it is no more than these."""
+    return matrix if matrix.columns == ["p"] else matrix.select(vector_to_array("scaled").alias("p"))
+
+
 def one_pass(matrix: DataFrame, centres: Sequence[np.ndarray]) -> list[list[dict]]:
     """What one look at all rows tells about every set of centres.
 
@@ -83,11 +88,11 @@ def one_pass(matrix: DataFrame, centres: Sequence[np.ndarray]) -> list[list[dict
                     far = _squared(part, own)
                     nearest = far.argmin(axis=1)
                     held = np.column_stack([np.ones(len(part)), square[first : first + 4096], far[np.arange(len(part)), nearest], part])
-                    np.add.at(total, begin + nearest, held)
+                    total[begin : begin + len(own)] += (nearest == np.arange(len(own))[:, None]).astype(float) @ held
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(shape[-1])), *[pa.array(c) for c in total.T]], names=names)
 
     names = ["centre", "n", "square", "cost", *[f"s{i}" for i in range(dims)]]
-    rows = matrix.select(vector_to_array("scaled").alias("p")).mapInArrow(add_up, "centre long, " + ", ".join(f"{n} double" for n in names[1:]))
+    rows = points(matrix).mapInArrow(add_up, "centre long, " + ", ".join(f"{n} double" for n in names[1:]))
     found = rows.groupBy("centre").agg(*[F.sum(n).alias(n) for n in names[1:]]).collect()  # a row for each centre
     place = {r["centre"]: r for r in found}
     empty = dict.fromkeys(names[1:], 0.0)
@@ -125,8 +130,10 @@ def lloyd(matrix: DataFrame, sets: Mapping, passes: int = PASSES, tolerance: flo
 
 def fit_starts(matrix: DataFrame, ks: Sequence[int], starts: int = STARTS, seed: int = SEED) -> dict[int, tuple[np.ndarray, list[dict]]]:
     """For each k the centres of least cost of several starts, and what a pass tells of them."""
-    settled = lloyd(matrix, first_centres(matrix, ks, starts, seed))
-    found = one_pass(matrix, list(settled.values()))
+    # every pass reads numbers, without turning vectors into arrays each time
+    plain = stage(points(matrix), "points")
+    settled = lloyd(plain, first_centres(matrix, ks, starts, seed))
+    found = one_pass(plain, list(settled.values()))
     best: dict[int, tuple[float, np.ndarray, list[dict]]] = {}
     for ((k, _), centres), rows in zip(settled.items(), found):
         cost = sum(r["cost"] for r in rows)

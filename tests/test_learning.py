@@ -443,3 +443,23 @@ def test_unlimited_forest_is_never_held_by_the_driver_and_the_smaller_one_is_its
     long = explain.attributions(val, nine, NAMES).groupBy("msno").agg((F.sum("contribution") + F.first("base_value")).alias("raw"))
     both = classify.churn_scores(nine, val, "m").join(long, "msno")
     assert both.count() == val.count() and both.agg(F.max(F.abs(F.col("raw") - F.col("churn_prob")))).first()[0] < 1e-9
+
+
+def test_linear_classifier_takes_a_few_newton_passes_and_keeps_its_parts(table):
+    train = part(table, "train")
+    model = classify.fit_classifier(train, Spec("lr", "linear"))
+    assert model.fitted.converged and len(model.fitted.steps) < 12
+    x = model.stages[0].transform(train).select(vector_to_array("scaled").alias("x"), "msno").collect()
+    z = {r["msno"]: float(np.dot(r["x"], model.stages[-1].coefficients.toArray())) + model.stages[-1].intercept for r in x}
+    for r in classify.churn_scores(model, train, "m").collect():
+        assert r["churn_prob"] == pytest.approx(1 / (1 + math.exp(-z[r["msno"]])), abs=1e-9)
+
+
+def test_kmeans_sums_are_those_of_each_row(spark, table):
+    rows = table.select(F.col("features").alias("scaled"))
+    own = np.array([[0.0, 0, 0, 0], [1, 0, 0, 0], [9, 9, 9, 9]])
+    x = np.array([r[0] for r in segments.points(rows).collect()])
+    assert segments.points(segments.points(rows)).columns == ["p"]
+    near = ((x[:, None] - own[None]) ** 2).sum(axis=2).argmin(axis=1)
+    for i, r in enumerate(segments.one_pass(segments.points(rows), [own])[0]):
+        assert r["n"] == (near == i).sum() and r["sum"] == pytest.approx(x[near == i].sum(axis=0)) and r["square"] == pytest.approx((x[near == i] ** 2).sum())
