@@ -195,3 +195,17 @@ def test_a_large_group_of_different_variants(spark, block):
         least[top(i)] = min(least.get(top(i), i), i)
     got = om.membership_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), settings)
     assert {r["doc_id"]: r["class_id"] for r in got.collect()} == {i: least[top(i)] for i in range(len(texts))}
+
+
+def test_texts_of_a_bucket_are_compared_whatever_their_other_sketches(spark):
+    words = ["w%d" % i for i in range(120)]
+    edited = [w if i % 6 else "x%d" % i for i, w in enumerate(words)]  # a sixth of the words: alike, but few shingles stay
+    keys = [bytes([i]) * 16 for i in range(2)]
+    shared = np.arange(40).reshape(2, 20)
+    shared[1, :2] = shared[0, :2]  # two sketches agree, which makes a bucket
+    packed = [(Words(pa.array([" ".join(t)])).hash >> np.uint64(32)).astype(np.uint32) for t in (words, edited)]
+    assert om.alike(*packed, 0.8)
+    own = spark.createDataFrame([(bytearray(k), s.tolist(), len(p), bytearray(om.profile(p).tobytes())) for k, s, p in zip(keys, shared, packed)], "key binary, sketches array<long>, n_words long, profile binary")
+    members = spark.createDataFrame([(1, 0, bytearray(k)) for k in keys], "bucket long, band int, key binary")
+    roots = spark.createDataFrame([], "node binary, root binary")
+    assert om._second_look(members, own, roots, om.Settings()).count() == 1
