@@ -463,3 +463,21 @@ def test_kmeans_sums_are_those_of_each_row(spark, table):
     near = ((x[:, None] - own[None]) ** 2).sum(axis=2).argmin(axis=1)
     for i, r in enumerate(segments.one_pass(segments.points(rows), [own])[0]):
         assert r["n"] == (near == i).sum() and r["sum"] == pytest.approx(x[near == i].sum(axis=0)) and r["square"] == pytest.approx((x[near == i] ** 2).sum())
+
+
+def test_bins_are_cut_from_one_summary_a_feature(spark):
+    rng = np.random.default_rng(5)
+    columns = [rng.normal(size=600), rng.integers(0, 4, 600).astype(float), np.full(600, 7.0), np.full(600, np.nan), rng.normal(size=600)]
+    columns[4][::3] = np.nan
+    rows = [(i, *[float(v) for v in r]) for i, r in enumerate(zip(*columns))]
+    df = spark.createDataFrame(rows, "msno long, a double, b double, c double, d double, e double").repartition(5)
+    made = VectorAssembler(inputCols=list("abcde"), outputCol="features", handleInvalid="keep").transform(df)
+    facts = {r["i"]: r for r in forest.bin_facts(made, "features").collect()}
+    assert sorted(facts) == [0, 1, 2, 4]
+    cuts = forest.bin_cuts(made, "features")
+    assert len(cuts) == 5 and cuts[1] == (0.0, 1.0, 2.0) and cuts[2] == () and cuts[3] == ()
+    for i in (0, 4):
+        known = np.sort(columns[i][~np.isnan(columns[i])])
+        exact = {known[max(0, math.ceil(len(known) * s / 32) - 1)] for s in range(1, 32)}
+        assert facts[i]["least"] == known[0] and facts[i]["most"] == known[-1]
+        assert cuts[i] == tuple(sorted({*exact, known[0]} - {known[-1]}))[-31:]
