@@ -209,3 +209,27 @@ def test_texts_of_a_bucket_are_compared_whatever_their_other_sketches(spark):
     members = spark.createDataFrame([(1, 0, bytearray(k)) for k in keys], "bucket long, band int, key binary")
     roots = spark.createDataFrame([], "node binary, root binary")
     assert om._second_look(members, own, roots, om.Settings()).count() == 1
+
+
+def test_a_text_meets_few_pivots_and_a_large_class_is_not_sent_to_itself(spark):
+    settings = om.Settings()
+    # text 60 has 40 buckets, with another first text each, but for three that share text 0
+    rows = [(b, b % 40, bytearray([60]), bytearray([0 if b < 3 else b])) for b in range(40)]
+    inside = spark.createDataFrame(rows, "bucket long, band int, key binary, a binary")
+    pairs = {(bytes(r["a"]), bytes(r["b"])) for r in om._first_look(inside, settings).collect()}
+    assert len(pairs) == settings.few and (bytes([0]), bytes([60])) in pairs
+
+    key = lambda i: bytearray(i.to_bytes(4, "big"))
+    classed = [(1, 0, key(i), key(0)) for i in range(1000)] + [(1, 0, key(i), key(i)) for i in range(2000, 2005)]
+    classed += [(2, 1, key(i), key(i % 2)) for i in range(300)] + [(3, 2, key(i), key(0)) for i in range(300)]
+    met = om._lots(spark.createDataFrame(classed, "bucket long, band int, key binary, root binary"), 100).collect()
+    assert len([r for r in met if r["bucket"] == 1]) == 1000 + 5 * 11 and not [r for r in met if r["bucket"] == 3]
+    groups = {}
+    for r in met:
+        groups.setdefault((r["bucket"], r["i"], r["j"]), []).append(r)
+    found = []
+    for (bucket, i, j), texts in groups.items():
+        for x, y in itertools.combinations(texts, 2):
+            if x["root"] != y["root"] and (i == j or x["lot"] != y["lot"]):
+                found.append((bucket, *sorted((bytes(x["key"]), bytes(y["key"])))))
+    assert len(found) == len(set(found)) == 1000 * 5 + 10 + 150 * 150
