@@ -8,7 +8,7 @@ import pytest
 
 from ebbtide.llm import order_minhash as om
 from ebbtide.llm.batches import Words, labelled, shingles
-from ebbtide.llm.graph import components
+from ebbtide.llm.graph import components, extended
 
 
 def naive_edits(a, b):
@@ -233,3 +233,47 @@ def test_a_text_meets_few_pivots_and_a_large_class_is_not_sent_to_itself(spark):
             if x["root"] != y["root"] and (i == j or x["lot"] != y["lot"]):
                 found.append((bucket, *sorted((bytes(x["key"]), bytes(y["key"])))))
     assert len(found) == len(set(found)) == 1000 * 5 + 10 + 150 * 150
+
+
+def test_many_edits_are_counted_by_columns():
+    rng = random.Random(9)
+    turned = 0
+    for _ in range(150):
+        a = [rng.randrange(60) for _ in range(rng.randrange(60, 200))]
+        b = [rng.randrange(60) if rng.random() < 0.2 else x for x in a if rng.random() > 0.05]
+        want = naive_edits(a, b)
+        x, y = np.array(a, np.uint32), np.array(b, np.uint32)
+        for limit in (want - 1, want, 2 * want):
+            assert om.edits_within(x, y, limit) == om.edits_within(y, x, limit) == (want if want <= limit else None)
+            assert om._by_columns(a, b, limit) == (want if want <= limit else None)
+        turned += want > 20
+    assert turned > 100
+
+
+def test_more_edges_extend_components(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)]
+    table = lambda e: spark.createDataFrame(e, "a long, b long")
+    want = {r["node"]: r["root"] for r in components(table(edges), "a", "b").collect()}
+    got = {r["node"]: r["root"] for r in extended(components(table(edges[:80]), "a", "b"), table(edges[80:]), "a", "b").collect()}
+    assert set(got) == set(want)
+    classes = lambda found: sorted(sorted(n for n in found if found[n] == r) for r in set(found.values()))
+    assert classes(got) == classes(want) and all(got[r] == r for r in got.values())
+
+
+def test_the_last_step_returns_links_not_pairs(spark):
+    """Texts that are not alike, though their profiles allow it, leave no row; of a group of copies links connect all."""
+    words = ["w%d" % i for i in range(100)]
+    texts = [words[:50] + words[50:][::-1], words[::-1], words] + [words[:i] + ["x"] + words[i + 1 :] for i in range(30)]
+    packed = [(Words(pa.array([" ".join(t)])).hash >> np.uint64(32)).astype(np.uint32) for t in texts]
+    rows = [(bytearray([i]), list(range(20)), len(p), bytearray(om.profile(p).tobytes()), bytearray(p.tobytes())) for i, p in enumerate(packed)]
+    own = spark.createDataFrame(rows, "key binary, sketches array<long>, n_words long, profile binary, words binary")
+    members = spark.createDataFrame([(1, 0, bytearray([i])) for i in range(33)], "bucket long, band int, key binary")
+    roots = spark.createDataFrame([], "node binary, root binary")
+    for block in (1024, 10):
+        links = om._second_look(members, own, roots, om.Settings(block=block))
+        found = {r["node"]: r["root"] for r in components(links, "a", "b").collect()}
+        assert set(found) == {bytes([i]) for i in range(2, 33)} and len(set(found.values())) == 1
+        assert block < 1024 or links.count() == 30
+    # without words, the candidates
+    assert om._second_look(members, own.drop("words"), roots, om.Settings()).count() == 33 * 32 // 2
