@@ -313,6 +313,15 @@ def test_two_step_scores_val_and_test_and_models_persist(table, tmp_path):
     assert again.exceptAll(scores.filter("split = 'val'")).count() == 0
 
 
+def test_ridges_share_what_no_penalty_changes(table):
+    some = value.fit_ridges(table, [0.1, 10.0])
+    assert some[0].stages[0] is some[1].stages[0]
+    for alpha, model in zip([0.1, 10.0], some):
+        alone = value.fit_ridge(table, alpha).stages[-1]
+        assert model.stages[-1].coefficients.toArray() == pytest.approx(alone.coefficients.toArray(), rel=1e-9)
+        assert model.stages[-1].intercept == pytest.approx(alone.intercept, rel=1e-9)
+
+
 def test_ridge_sweep_and_selection(table):
     rows, best, model = value.ridge_alpha_sweep(part(table, "train"), part(table, "val"))
     per = {r["alpha"]: r["rmse"] for r in rows.collect()}
@@ -455,6 +464,18 @@ def test_linear_classifier_takes_a_few_newton_passes_and_keeps_its_parts(table):
         assert r["churn_prob"] == pytest.approx(1 / (1 + math.exp(-z[r["msno"]])), abs=1e-9)
 
 
+def test_kmeans_sums_of_many_sets_are_those_of_each(spark, table):
+    rows = table.withColumnRenamed("features", "scaled")
+    x = np.array([r[0] for r in rows.select(vector_to_array("scaled")).collect()])
+    sets = [x[:3], x[5:9], x[:1]]
+    for own, found in zip(sets, segments.one_pass(segments.points(rows), sets)):
+        far = ((x[:, None] - own) ** 2).sum(axis=2)
+        for i, r in enumerate(found):
+            mine = far.argmin(axis=1) == i
+            assert r["n"] == mine.sum() and r["sum"] == pytest.approx(x[mine].sum(axis=0))
+            assert r["cost"] == pytest.approx(far[mine, i].sum()) and r["square"] == pytest.approx((x[mine] ** 2).sum())
+
+
 def test_kmeans_sums_are_those_of_each_row(spark, table):
     rows = table.select(F.col("features").alias("scaled"))
     own = np.array([[0.0, 0, 0, 0], [1, 0, 0, 0], [9, 9, 9, 9]])
