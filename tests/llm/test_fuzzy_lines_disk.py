@@ -111,3 +111,11 @@ def test_places_reject_what_shares_a_run_elsewhere():
     assert fl._may_be_near(sim, info | (np.array([30, 35]) << 48), x, y, fl.WHOLE).all()
     assert not fl._may_be_near(sim, info | (np.array([10, 70]) << 48), x, y, fl.WHOLE).any()
     assert fl._may_be_near(sim, info | (np.array([10, fl.FREE]) << 48), x, y, fl.WHOLE).all()
+
+
+def test_words_of_all_texts_are_counted(spark):
+    texts = ["once%d only%d" % (i, i) for i in range(200)] + ["often often often", None, ""]
+    words = fl.Words(pa.array(texts))
+    count = np.bincount(fl._slot(words.hash), minlength=fl.SLOTS)
+    got = fl.levels(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5))
+    assert (got == np.minimum(np.log2(count + 1) * 4, 255).astype(np.uint8)).all()
